@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonarlake.llm.leakage import leaks
 from sonarlake.llm.neighbours import nearest, similar_pairs
 from sonarlake.llm.packing import pack
 from sonarlake.llm.quantiles import combine, percentiles, sketches
+from sonarlake.llm.sentences import sentences
 from sonarlake.sources.tables import table
 
 PS = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -66,7 +68,23 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return total.join(capacity, "container_id").select("container_id", "bins", "tokens", "fullest", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 4).alias("filled"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_by_metric, p2_by_day, p2_by_recording, p7_found, p7_fill)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that carry test passages, and which."""
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).distinct()
+
+
+def p8_by_item(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each leaked test item is in."""
+    found = p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+    return found.join(table(spark, d, "eval_items").select("item_id", "suite").distinct(), "item_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Where the sentences and other units of every document end."""
+    return sentences(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_by_metric, p2_by_day, p2_by_recording, p7_found, p7_fill, p8_found, p8_by_item, p9_found)}
 
 SQL = {
     "p7_found": "SELECT DISTINCT container_id, doc_id FROM documents, containers WHERE strlen(text) > capacity_tokens",
