@@ -21,8 +21,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The ten most similar vectors of every twentieth vector, against all of them."""
-    return nearest(table(spark, d, "feature_vectors"), 10, asks=F.col("vec_id") % 20 == 0)
+    """The ten most similar vectors, of a cosine of at least 0.9, of every twentieth vector, against all of them."""
+    return nearest(table(spark, d, "feature_vectors"), 10, 0.9, F.col("vec_id") % 20 == 0)
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
