@@ -282,7 +282,7 @@ def _reconstruction(s: Source) -> DataFrame:
 def _change_point(s: Source) -> DataFrame:
     c = s.settings
 
-    def find(key, g: pd.DataFrame) -> pd.DataFrame:
+    def find(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         z = g.sort_values("frame").v.to_numpy()
         _, height = dsp.peaks(z, max(1, c.fft_hop // 256), 1.0)
         return pd.DataFrame({REC: [key[0]], "v": [float(np.clip(height.max() / 8, 0, 1)) if len(height) else 0.0]})
@@ -403,7 +403,7 @@ def _bass(s: Source) -> DataFrame:
     """Sequential filters need a recording's whole impulse response, which is bounded by the length of a decay."""
     c = s.settings
 
-    def ratio(key, g: pd.DataFrame) -> pd.DataFrame:
+    def ratio(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         x = g.sort_values("n").x.to_numpy()
         rt = []
         for f in (125.0, 250.0, 500.0, 1000.0):

@@ -107,7 +107,7 @@ def wav_signal(files: DataFrame, rate: int | None = None, step: int = 65_536) ->
 def clip_files(samples: DataFrame, rate: int, bits: int = 24) -> DataFrame:
     """clip_id, wav: the samples of each clip (clip_id, channel, n, x) as a file. A clip is bounded by the window it was cut by."""
 
-    def pack(key, g: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         x = g.pivot_table(index="n", columns="channel", values="x").sort_index().to_numpy()
         return pd.DataFrame({"clip_id": [key[0]], "wav": [encode(np.nan_to_num(x), rate, bits)]})
 
