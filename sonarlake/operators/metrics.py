@@ -590,6 +590,28 @@ def register(metric: Metric) -> None:
     _EXTRA[metric.name] = metric
 
 
+def discover(group: str = "sonarlake.metrics") -> list[str]:
+    """Registers what installed packages offer under an entry point group: a metric, or a function that makes one. What fails is passed over."""
+    from importlib.metadata import entry_points
+
+    added = []
+    for point in entry_points(group=group):
+        try:
+            found = point.load()
+            metric = found if isinstance(found, Metric) else found()
+            register(metric)
+            added.append(metric.name)
+        except Exception:
+            continue
+    return added
+
+
+def chunked(source: Source, size: int) -> Source:
+    """The same signals with every ``size`` samples as a recording of its own (recording_id#chunk): metrics per chunk, as a stream gives them."""
+    cut = lambda df: df.select(F.concat_ws("#", REC, F.floor(F.col("n") / size)).alias(REC), "channel", F.pmod("n", F.lit(size)).alias("n"), "x")
+    return Source(lambda c: cut(source.signal(c)), lambda: cut(source.impulse()), source.settings, source.file_name)
+
+
 def metric_names(wanted: list[str] | None = None) -> list[str]:
     """All names in order, or those wanted; an unknown one is refused."""
     known = METRICS | _EXTRA

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from sonarlake.functions import dsp
 from sonarlake.functions.levels import db, rounded, summary_columns, total
 from sonarlake.operators import rules
 from sonarlake.operators.frames import framed, frames_of_blocks, blocks
-from sonarlake.operators.metrics import METRICS, REC, Source, name_time
+from sonarlake.operators.metrics import METRICS, REC, Source, chunked, name_time
 from sonarlake.operators.similarity import band_similarity, kernel, novelty
 from sonarlake.plans import metric_sql as m
 from sonarlake.plans.metric_queries import event_source
@@ -197,6 +198,23 @@ def foote_novelty(spark: SparkSession, d: str) -> DataFrame:
     return rounded(novelty(spark, v, v.count(), 16))
 
 
+def novelty_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """Peaks of the novelty that stand out by 0.08 and are half a kernel apart; the curve has one value per vector."""
+
+    def find(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("frame")
+        at, height = dsp.peaks(g.novelty.to_numpy(), 4, 0.08)
+        return pd.DataFrame({"frame": g.frame.to_numpy()[at], "prominence": height})
+
+    return rounded(foote_novelty(spark, d).groupBy(F.lit(0).alias("one")).applyInPandas(find, "frame long, prominence double"))
+
+
+def chunked_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Level of every chunk of 4096 samples, framed on its own."""
+    s = chunked(event_source(spark, d), 4096)
+    return rounded(METRICS["rms_dbfs"].compute(s).groupBy(REC).agg(F.count("*").alias("frames"), F.avg("v").alias("mean"), F.max("v").alias("max")))
+
+
 def clip_cut(spark: SparkSession, d: str) -> DataFrame:
     """Clips around chunks of samples that reach full scale: samples and energy of each."""
     s = event_signal(spark, d)
@@ -208,7 +226,7 @@ def clip_cut(spark: SparkSession, d: str) -> DataFrame:
 
 _FUNCTIONS = (
     frame_signal, frame_tail_rule, stft_dft, summarize, channel_summary, validity_flags, fractional_octave_range_join, schroeder_decay, decay_fit, loudness_gating, mel_spectrum, core_features, ltsa,
-    beam_map, calibration_check, profile_multires, parse_filename_ts, kpi_score, ssm_cosine, checkerboard_kernel, foote_novelty, clip_cut,
+    beam_map, calibration_check, profile_multires, parse_filename_ts, kpi_score, ssm_cosine, checkerboard_kernel, foote_novelty, novelty_peaks, chunked_levels, clip_cut,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -277,6 +295,10 @@ SELECT azimuth_deg, round(CASE WHEN max(abs(s)) OVER () > 0 THEN s / max(abs(s))
     "foote_novelty": f"""WITH {_sim(16)}, {_KERNEL}, nf AS (SELECT count(*) AS c FROM embeddings),
 nv AS (SELECT f.vec_id AS frame, greatest(0, sum(sim * w)) AS r FROM embeddings f, nf, sm, kn WHERE f.vec_id >= 8 AND f.vec_id < c - 8 AND sm.i = f.vec_id + u AND sm.j = f.vec_id + v GROUP BY 1)
 SELECT e.vec_id AS frame, round(coalesce(r / (SELECT max(r) FROM nv), 0), 6) + 0e0 AS novelty FROM embeddings e LEFT JOIN nv ON nv.frame = e.vec_id""",
+    "chunked_levels": f"""WITH {m.MONO}, ck AS (SELECT n // 4096 AS c, n % 4096 AS k, x FROM mono), cl AS (SELECT c, max(k) + 1 AS l FROM ck GROUP BY c),
+rg AS (SELECT c, unnest(range(0, greatest(l - 1024, 0) // 256 + 1)) AS f, l FROM cl), st AS (SELECT c, f, f * 256 AS s FROM rg UNION ALL SELECT c, (l - 1024) // 256 + 1, l - 1024 FROM cl WHERE l > 1024 AND (l - 1024) % 256 <> 0),
+lv AS (SELECT c, f, {m._DB.format("sqrt(sum(x * x) / 1024)")} AS v FROM st JOIN ck USING (c) WHERE k >= s AND k < s + 1024 GROUP BY c, f)
+SELECT 'events#' || c AS recording_id, count(*) AS frames, round(avg(v), 6) AS mean, round(max(v), 6) AS max FROM lv GROUP BY c""",
     "clip_cut": f"""WITH {m.MONO}, ld AS (SELECT n // {CLIP_CHUNK} AS c FROM mono GROUP BY 1 HAVING max(abs(x)) >= 999e-3)
 SELECT c AS clip_id, count(*) AS samples, round(sum(x * x), 6) AS energy, round(sum(x), 6) + 0e0 AS sum FROM ld JOIN mono ON n >= c * {CLIP_CHUNK} - {CLIP_MARGIN} AND n < (c + 1) * {CLIP_CHUNK} + {CLIP_MARGIN} GROUP BY c""",
 }

@@ -66,3 +66,21 @@ def test_command_line(capsys, spark, data, tmp_path):
     assert main(["metrics"]) == 0 and len(capsys.readouterr().out.splitlines()) == 74
     assert main(["query", "validation_file_status", data, "--out", str(tmp_path / "q")]) == 0
     assert spark.read.parquet(str(tmp_path / "q")).where(F.col("checks") > 0).count() > 0
+
+
+def test_vectors_and_schema(spark, tmp_path):
+    from sonarlake.functions.schema import DOCUMENT, json_schema, schema_text
+    from sonarlake.operators.metrics import discover
+    from sonarlake.sources.features import load_vectors, save_vectors
+
+    np.save(tmp_path / "v.npy", np.arange(6.0).reshape(3, 2))
+    v = load_vectors(spark, str(tmp_path / "v.npy"))
+    assert v.count() == 3 and v.first().feature_names == ["f000", "f001"]
+    save_vectors(v, str(tmp_path / "w.npz"))
+    assert [r.matrix for r in load_vectors(spark, str(tmp_path / "w.npz")).orderBy("frame_idx").collect()] == [[0.0, 1.0], [2.0, 3.0], [4.0, 5.0]]
+    (tmp_path / "c.csv").write_text("t,a\n0.0,1\n0.5,2\n")
+    assert load_vectors(spark, str(tmp_path / "c.csv")).agg(F.max("time_s")).first()[0] == 0.5
+    with pytest.raises(ValueError):
+        load_vectors(spark, "x.bin")
+    assert set(json_schema()["required"]) == {f.name for f in DOCUMENT} and json.loads(schema_text()) == json_schema()
+    assert discover("no.such.group") == []
