@@ -81,7 +81,7 @@ def p8_by_item(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Where the sentences and other units of every document end."""
-    return sentences(table(spark, d, "documents"))
+    return sentences(table(spark, d, "documents")).distinct()
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_by_metric, p2_by_day, p2_by_recording, p7_found, p7_fill, p8_found, p8_by_item, p9_found)}
