@@ -11,6 +11,7 @@ from sonarlake.functions.levels import db, rounded, summary_columns, total
 from sonarlake.operators import rules
 from sonarlake.operators.frames import framed, frames_of_blocks, blocks
 from sonarlake.operators.metrics import METRICS, REC, Source, chunked, name_time
+from sonarlake.operators.percentiles import exact_percentiles
 from sonarlake.operators.similarity import band_similarity, kernel, novelty
 from sonarlake.plans import metric_sql as m
 from sonarlake.plans.metric_queries import event_source
@@ -42,7 +43,10 @@ def stft_dft(spark: SparkSession, d: str) -> DataFrame:
 
 def summarize(spark: SparkSession, d: str) -> DataFrame:
     """The summary of each metric's readings, as stored with results."""
-    return rounded(rules.once(table(spark, d, "metric_series")).groupBy("recording_id", "metric").agg(*summary_columns("value")), 9)
+    keys = ["recording_id", "metric"]
+    rows = rules.once(table(spark, d, "metric_series"))
+    moments = rows.groupBy(*keys).agg(*summary_columns("value")[:5])
+    return rounded(moments.join(exact_percentiles(rows, keys, "value", (0.5, 0.95)).drop("n"), keys), 9)
 
 
 def channel_summary(spark: SparkSession, d: str) -> DataFrame:
