@@ -88,4 +88,21 @@ marked AS (SELECT *, sum(CASE WHEN top IS NULL OR s > top + gap THEN 1 ELSE 0 EN
 periods AS (SELECT recording_id, island, min(s) AS s, max(e) AS e FROM marked GROUP BY recording_id, island)
 SELECT recording_id, 'period' AS kind, s AS start_ms, e AS end_ms FROM periods
 UNION ALL SELECT recording_id, 'gap', e, n FROM (SELECT *, lead(s) OVER (PARTITION BY recording_id ORDER BY island) AS n FROM periods) WHERE n IS NOT NULL""",
+    "p6_found": """
+WITH docs AS (SELECT DISTINCT ON (result_id) result_id, producer, written_at, payload FROM result_docs WHERE payload IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'),
+pairs AS (SELECT result_id, lag(result_id) OVER (PARTITION BY producer ORDER BY written_at, result_id) AS before FROM docs),
+members AS (
+  SELECT d.result_id, t.path AS obj, t.key, t.fullkey, CASE WHEN t.type IN ('VARCHAR', 'BOOLEAN', 'NULL', 'ARRAY', 'OBJECT') THEN t.type ELSE 'NUMBER' END AS kind
+  FROM docs d, json_tree(d.payload) t WHERE t.fullkey <> '$' AND t.fullkey NOT LIKE '%[%' AND t.path <> '$.metrics' AND t.path NOT LIKE '$.metrics.%'),
+objects AS (SELECT result_id, '$' AS obj FROM docs UNION ALL SELECT result_id, fullkey FROM members WHERE kind = 'OBJECT' AND fullkey <> '$.metrics'),
+kept AS (SELECT p.result_id, p.before, n.obj FROM pairs p JOIN objects n ON n.result_id = p.result_id JOIN objects o ON o.result_id = p.before AND o.obj = n.obj),
+new AS (SELECT k.result_id, k.obj, m.key, m.fullkey, m.kind FROM kept k JOIN members m ON m.result_id = k.result_id AND m.obj = k.obj),
+old AS (SELECT k.result_id, k.obj, m.key, m.fullkey, m.kind FROM kept k JOIN members m ON m.result_id = k.before AND m.obj = k.obj),
+come AS (SELECT *, count(*) OVER (PARTITION BY result_id, obj) AS c FROM new ANTI JOIN old USING (result_id, obj, key)),
+gone AS (SELECT *, count(*) OVER (PARTITION BY result_id, obj) AS c FROM old ANTI JOIN new USING (result_id, obj, key)),
+renamed AS (SELECT g.result_id, g.obj, g.fullkey AS f, c.fullkey AS t FROM gone g JOIN come c USING (result_id, obj) WHERE g.c = 1 AND c.c = 1 AND g.kind = c.kind)
+SELECT result_id, 'renamed' AS change_kind, substr(f, 3) AS old_path, substr(t, 3) AS new_path FROM renamed
+UNION ALL SELECT result_id, 'added', '', substr(fullkey, 3) FROM come ANTI JOIN renamed USING (result_id, obj)
+UNION ALL SELECT result_id, 'removed', substr(fullkey, 3), '' FROM gone ANTI JOIN renamed USING (result_id, obj)
+UNION ALL SELECT result_id, 'type_changed', substr(n.fullkey, 3), substr(n.fullkey, 3) FROM new n JOIN old o USING (result_id, obj, key) WHERE n.kind <> o.kind AND n.kind <> 'NULL' AND o.kind <> 'NULL'""",
 }

@@ -46,7 +46,7 @@ def test_against_sql(spark, db, data, name):
     same(spark, db, data, name)
 
 
-@pytest.mark.parametrize("name", [n for n in ("p3_found", "p4_found") if n in SQL])
+@pytest.mark.parametrize("name", [n for n in ("p3_found", "p4_found", "p6_found") if n in SQL])
 def test_preparation_against_sql(spark, db, data, name):
     same(spark, db, data, name)
 
