@@ -8,6 +8,7 @@ it is at most n h / 2k with h = log2(n / k), which for k = 2048 is below 1 % up
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -95,7 +96,7 @@ def sketches(df: DataFrame, keys: Sequence[str], value: str, k: int = K) -> Data
         yield from _partial(batches, list(keys), k)
 
     made = clean.mapInArrow(partial, f"{kinds}, salt long, {SKETCH}")
-    rounds, tasks = 1, clean.rdd.getNumPartitions()
+    rounds, tasks = 1, _tasks(clean)
     while tasks > FAN_IN:
         rounds, tasks = rounds + 1, tasks / FAN_IN
     for i in range(rounds):
@@ -103,6 +104,14 @@ def sketches(df: DataFrame, keys: Sequence[str], value: str, k: int = K) -> Data
     return made.drop("salt")
 
 
+def _tasks(df: DataFrame) -> float:
+    """About how many tasks a table is made in at most, from its estimated size; nothing is run for it."""
+    conf = df.sparkSession.conf
+    size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    piece = float(re.sub(r"\D", "", conf.get("spark.sql.files.maxPartitionBytes"))) * {"k": 2.0**10, "m": 2.0**20, "g": 2.0**30}.get(conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")[-1:], 1.0)
+    return max(float(conf.get("spark.sql.shuffle.partitions")), min(size, 1e18) / max(piece, 1.0))
+
+
 def _partial(batches: Iterator[pa.RecordBatch], keys: list[str], k: int, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
