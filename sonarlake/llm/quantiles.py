@@ -107,7 +107,7 @@ def sketches(df: DataFrame, keys: Sequence[str], value: str, k: int = K) -> Data
 def _tasks(df: DataFrame) -> float:
     """About how many tasks a table is made in at most, from its estimated size; nothing is run for it."""
     conf = df.sparkSession.conf
-    size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     piece = float(re.sub(r"\D", "", conf.get("spark.sql.files.maxPartitionBytes"))) * {"k": 2.0**10, "m": 2.0**20, "g": 2.0**30}.get(conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")[-1:], 1.0)
     return max(float(conf.get("spark.sql.shuffle.partitions")), min(size, 1e18) / max(piece, 1.0))
 
