@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonarlake.functions import dsp
+
 BLOCK = 16_384
 
 
@@ -104,3 +107,26 @@ def frames_of_blocks(packed: DataFrame, columns: list[str], size: int, hop: int,
                 yield pa.RecordBatch.from_arrays(arrays, ["recording_id", "frame", *made])
 
     return packed.mapInArrow(run, f"recording_id string, frame long, {schema}")
+
+
+def peaks_in_blocks(df: DataFrame, keys: list[str], order: str, value: str, distance: int, prominence: float, block: int = 65_536, margin: int = 8_192) -> DataFrame:
+    """keys, order, prominence: peaks at least ``distance`` apart that stand out by ``prominence`` among the ``margin`` values on both sides at least.
+
+    ``order`` are consecutive whole numbers. Series are cut into blocks that are shown ``margin`` values of their neighbours, so that no task gets a
+    whole long series; for series shorter than a block the prominence is that among all values.
+    """
+    own = F.floor(F.col(order) / block)
+    at = F.pmod(F.col(order), F.lit(block))
+    places = F.filter(F.array(own, F.when(at < margin, own - 1), F.when(at >= block - margin, own + 1)), lambda b: b.isNotNull() & (b >= 0))
+    base = df.select(*keys, F.col(order).cast("long").alias(order), F.col(value).cast("double").alias("__v"), places.alias("__p"))
+    shown = base.select(*keys, order, "__v", F.explode("__p").alias("__b"))
+    kinds = ", ".join(f"`{n}` {t}" for n, t in shown.select(*keys).dtypes)
+
+    def find(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(order)
+        n = g[order].to_numpy()
+        i, height = dsp.peaks(g["__v"].to_numpy(), distance, prominence)
+        mine = n[i] // block == int(g["__b"].iloc[0])
+        return g.iloc[i[mine]][[*keys, order]].assign(prominence=height[mine])
+
+    return shown.groupBy(*keys, "__b").applyInPandas(find, f"{kinds}{', ' if keys else ''}`{order}` long, prominence double")

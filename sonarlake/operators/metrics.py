@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sonarlake.functions import dsp
 from sonarlake.functions.levels import FLOOR, db, dot, leq, power_db, summary_columns, total, weighting_db
-from sonarlake.operators.frames import blocks, framed, frames_of_blocks, running_total, with_previous
+from sonarlake.operators.frames import blocks, framed, frames_of_blocks, peaks_in_blocks, running_total, with_previous
 from sonarlake.sources.signals import Settings, wide
 
 REC = "recording_id"
@@ -280,14 +280,10 @@ def _reconstruction(s: Source) -> DataFrame:
 
 
 def _change_point(s: Source) -> DataFrame:
-    c = s.settings
-
-    def find(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        z = g.sort_values("frame").v.to_numpy()
-        _, height = dsp.peaks(z, max(1, c.fft_hop // 256), 1.0)
-        return pd.DataFrame({REC: [key[0]], "v": [float(np.clip(height.max() / 8, 0, 1)) if len(height) else 0.0]})
-
-    return _z(_shape("novelty")(s)).groupBy(REC).applyInPandas(find, f"{REC} string, v double")
+    z = _z(_shape("novelty")(s))
+    top = peaks_in_blocks(z, [REC], "frame", "v", max(1, s.settings.fft_hop // 256), 1.0).groupBy(REC).agg(F.max("prominence").alias("p"))
+    every = z.groupBy(REC).agg(F.lit(1).alias("one"))
+    return every.join(top, REC, "left").select(REC, F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") / 8)), F.lit(0.0)).alias("v"))
 
 
 def _ndsi(s: Source) -> DataFrame:

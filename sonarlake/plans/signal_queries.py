@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonarlake.functions import dsp
 from sonarlake.functions.levels import db, rounded, summary_columns, total
 from sonarlake.operators import rules
-from sonarlake.operators.frames import framed, frames_of_blocks, blocks
+from sonarlake.operators.frames import blocks, framed, frames_of_blocks, peaks_in_blocks
 from sonarlake.operators.metrics import METRICS, REC, Source, chunked, name_time
 from sonarlake.operators.percentiles import exact_percentiles
 from sonarlake.operators.similarity import band_similarity, kernel, novelty
@@ -203,14 +202,8 @@ def foote_novelty(spark: SparkSession, d: str) -> DataFrame:
 
 
 def novelty_peaks(spark: SparkSession, d: str) -> DataFrame:
-    """Peaks of the novelty that stand out by 0.08 and are half a kernel apart; the curve has one value per vector."""
-
-    def find(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("frame")
-        at, height = dsp.peaks(g.novelty.to_numpy(), 4, 0.08)
-        return pd.DataFrame({"frame": g.frame.to_numpy()[at], "prominence": height})
-
-    return rounded(foote_novelty(spark, d).groupBy(F.lit(0).alias("one")).applyInPandas(find, "frame long, prominence double"))
+    """Peaks of the novelty that stand out by 0.08 and are half a kernel apart."""
+    return rounded(peaks_in_blocks(foote_novelty(spark, d), [], "frame", "novelty", 4, 0.08))
 
 
 def chunked_levels(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from sonarlake.functions import dsp
-from sonarlake.operators.frames import framed, running_total, with_previous
+from sonarlake.operators.frames import framed, peaks_in_blocks, running_total, with_previous
 from sonarlake.operators.metrics import METRICS, Metric, Source, analyze, metric_names, register, summary
 from sonarlake.sources.signals import Settings
 
@@ -113,3 +113,13 @@ def test_filters_and_peaks():
     assert len(up) == 450 and np.abs(up[60:380] - np.sin(np.arange(450) / 7 / 1.5)[60:380]).max() < 0.01
     w = dsp.mel_weights(8000, 64, 16)
     assert w.shape == (16, 33) and (w.sum(1) > 0).all()
+
+
+def test_peaks_in_blocks(spark):
+    x = np.random.default_rng(6).normal(size=900).cumsum()
+    df = spark.createDataFrame([("r", i, float(v)) for i, v in enumerate(x)], "k string, n long, x double")
+    at, height = dsp.peaks(x, 3, 2.0)
+    whole = {r.n: r.prominence for r in peaks_in_blocks(df, ["k"], "n", "x", 3, 2.0).collect()}
+    assert whole == dict(zip(at.tolist(), height.tolist()))
+    cut = {r.n: r.prominence for r in peaks_in_blocks(df, ["k"], "n", "x", 3, 2.0, block=300, margin=290).collect()}
+    assert len(set(at) - set(cut)) <= 0.1 * len(at) and len(set(cut) - set(at)) <= 1
