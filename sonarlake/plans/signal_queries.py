@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonarlake.functions import dsp
-from sonarlake.functions.levels import db, rounded, summary_columns, total
+from sonarlake.functions.levels import db, rounded, settled, settled_sql, summary_columns, total
 from sonarlake.operators import rules
 from sonarlake.operators.frames import blocks, framed, frames_of_blocks, peaks_in_blocks
 from sonarlake.operators.metrics import METRICS, REC, Source, chunked, name_time
@@ -45,7 +45,8 @@ def summarize(spark: SparkSession, d: str) -> DataFrame:
     keys = ["recording_id", "metric"]
     rows = rules.once(table(spark, d, "metric_series"))
     moments = rows.groupBy(*keys).agg(*summary_columns("value")[:5])
-    return rounded(moments.join(exact_percentiles(rows, keys, "value", (0.5, 0.95)).drop("n"), keys), 9)
+    found = moments.join(exact_percentiles(rows, keys, "value", (0.5, 0.95)).drop("n"), keys)
+    return settled(found, "mean", "std", "min", "max", "p50", "p95")
 
 
 def channel_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -263,7 +264,7 @@ SQL = {
     "frame_signal": f"WITH {m.MONO}, {m.starts('fs', 'len', 1024, 256, True)} SELECT frame, start, count(*) AS samples, round(sum(x), 6) + 0e0 AS total FROM fs JOIN mono ON n >= start AND n < start + 1024 GROUP BY frame, start",
     "frame_tail_rule": f"WITH {m.MONO}, {m.starts('fs', 'len', 1000, 300, True)} SELECT frame, start AS first, start + 999 AS last, length FROM fs, len WHERE start + 999 >= length - 700",
     "stft_dft": f"WITH {m.SPECTRUM} SELECT frame, k AS bin, round(m, 6) AS mag FROM mag",
-    "summarize": "WITH rd AS (SELECT DISTINCT ON (reading_id) reading_id, recording_id, metric, value FROM metric_series WHERE value IS NOT NULL AND NOT isnan(value) AND timestamp_s IS NOT NULL) SELECT recording_id, metric, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std, round(min(value), 9) AS min, round(max(value), 9) AS max, round(quantile_cont(value, 5e-1), 9) AS p50, round(quantile_cont(value, 95e-2), 9) AS p95 FROM rd GROUP BY 1, 2",
+    "summarize": "WITH rd AS (SELECT DISTINCT ON (reading_id) reading_id, recording_id, metric, value FROM metric_series WHERE value IS NOT NULL AND NOT isnan(value) AND timestamp_s IS NOT NULL) SELECT recording_id, metric, count(*) AS n, " + ", ".join(f"{settled_sql(e)} AS {n}" for n, e in (("mean", "avg(value)"), ("std", "stddev_pop(value)"), ("min", "min(value)"), ("max", "max(value)"), ("p50", "quantile_cont(value, 5e-1)"), ("p95", "quantile_cont(value, 95e-2)"))) + " FROM rd GROUP BY 1, 2",
     "channel_summary": f"""WITH s AS (SELECT event_id % 2 AS c, {m._X} AS x FROM events), p AS (SELECT c, avg(x * x) AS p, max(abs(x)) AS k, avg(x) AS d, avg(CASE WHEN abs(x) >= 999e-3 THEN 1e0 ELSE 0 END) AS r FROM s GROUP BY c),
 a AS (SELECT 'ch' || (c + 1) AS id, p, k, d, r FROM p UNION ALL SELECT 'all', avg(p), max(k), avg(d), avg(r) FROM p)
 SELECT id, round({m._DB.format("sqrt(p)")}, 6) + 0e0 AS rms_dbfs, round({m._DB.format("k")}, 6) + 0e0 AS peak_dbfs, round(d, 6) + 0e0 AS dc_offset, round(r, 6) AS clipping_ratio FROM a""",

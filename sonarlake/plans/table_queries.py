@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarlake.functions.levels import rounded
+from sonarlake.functions.levels import rounded, settled, settled_sql
 from sonarlake.operators import reports, rules
 from sonarlake.sources.tables import table
 
@@ -27,12 +27,12 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Means of every metric over tumbling windows of ten seconds."""
-    return rounded(_chunks(spark, d), 9)
+    return settled(_chunks(spark, d), "mean")
 
 
 def stream_aggregate_means(spark: SparkSession, d: str) -> DataFrame:
     """Means of the chunks' means."""
-    return rounded(_chunks(spark, d).groupBy("recording_id", "metric").agg(F.avg("mean").alias("mean"), F.count("*").alias("chunks")))
+    return settled(_chunks(spark, d).groupBy("recording_id", "metric").agg(F.avg("mean").alias("mean"), F.count("*").alias("chunks")), "mean")
 
 
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +140,7 @@ def frame_table_wide(spark: SparkSession, d: str) -> DataFrame:
 
 def impute_col_mean(spark: SparkSession, d: str) -> DataFrame:
     """The frame table with holes filled by column means."""
-    return rounded(reports.impute_means(frame_table_wide(spark, d), FRAME_METRICS))
+    return settled(reports.impute_means(frame_table_wide(spark, d), FRAME_METRICS), *FRAME_METRICS)
 
 
 def clip_vector(spark: SparkSession, d: str) -> DataFrame:
@@ -200,8 +200,8 @@ _WIDE = f"{_LONG}, fw AS (SELECT recording_id, timestamp_s, " + ", ".join(f"max(
 _R = "round({0}, 6) AS {0}"
 
 SQL = {
-    "chunk_metrics": f"WITH {_CHUNKS} SELECT recording_id, chunk_index, metric, round(mean, 9) AS mean, n FROM ch",
-    "stream_aggregate_means": f"WITH {_CHUNKS} SELECT recording_id, metric, round(avg(mean), 6) AS mean, count(*) AS chunks FROM ch GROUP BY 1, 2",
+    "chunk_metrics": f"WITH {_CHUNKS} SELECT recording_id, chunk_index, metric, {settled_sql('mean')} AS mean, n FROM ch",
+    "stream_aggregate_means": f"WITH {_CHUNKS} SELECT recording_id, metric, {settled_sql('avg(mean)')} AS mean, count(*) AS chunks FROM ch GROUP BY 1, 2",
     "stream_alerts": f"WITH {_ALERTS} SELECT recording_id, chunk_index, metric, {_R.format('value')}, condition, threshold FROM al",
     "validation_rows": f"WITH {_CHECKS} SELECT recording_id, name, CASE WHEN NOT isnan(value) THEN round(value, 6) END AS value, expected_min, expected_max, CASE WHEN message = '' THEN 'pass' ELSE 'fail' END AS status, message FROM vr",
     "validation_file_status": f"WITH {_CHECKS} SELECT recording_id, count(*) AS checks, CAST(sum(CASE WHEN message <> '' THEN 1 ELSE 0 END) AS BIGINT) AS failures, CASE WHEN bool_or(message <> '') THEN 'fail' ELSE 'pass' END AS status FROM vr GROUP BY 1",
@@ -223,7 +223,7 @@ CASE WHEN abs(baseline_value) > 1e-12 THEN round(100 * (value - baseline_value)
     "export_industrial": "SELECT 'HEAD Acoustics' AS system, recording_id, name AS metric, CASE WHEN NOT isnan(summary.mean) THEN summary.mean END AS value_mean, CASE WHEN NOT isnan(summary.p95) THEN summary.p95 END AS value_p95, units, confidence, 'A/C/Z or unweighted per metric definition' AS weighting, '2048@hop512' AS windowing FROM metric_results",
     "frame_table_long": f"WITH {_LONG} SELECT * FROM fl",
     "frame_table_wide": f"WITH {_WIDE} SELECT * FROM fw",
-    "impute_col_mean": f"WITH {_WIDE} SELECT recording_id, round(timestamp_s, 6) AS timestamp_s, " + ", ".join(f"round(coalesce({m}, avg({m}) OVER (PARTITION BY recording_id), 0), 6) + 0e0 AS {m}" for m in FRAME_METRICS) + " FROM fw",
+    "impute_col_mean": f"WITH {_WIDE} SELECT recording_id, timestamp_s, " + ", ".join(f"{settled_sql(f'coalesce({m}, avg({m}) OVER (PARTITION BY recording_id), 0)')} AS {m}" for m in FRAME_METRICS) + " FROM fw",
     "clip_vector": "SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY name) - 1 AS INT) AS position, name, CASE WHEN NOT isnan(summary.mean) THEN round(summary.mean, 6) + 0e0 END AS value FROM metric_results",
     "layout_hint": "SELECT DISTINCT recording_id, channels, CASE WHEN channels = 1 THEN 'mono' WHEN channels = 4 AND regexp_matches(lower(recording_id), 'ambi|bformat|ambisonic|4$') THEN 'ambisonic_b_format' WHEN channels > 2 THEN 'multichannel' ELSE 'stereo' END AS layout FROM recordings",
     "session_moments": """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS b FROM events),
