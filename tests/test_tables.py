@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -108,7 +109,11 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_stream_of_moments(spark, tmp_path):
     t0 = dt.datetime(2025, 1, 1)
-    at = [0, 5, 8, 100, 103, 5000]
-    s = _stream(spark, tmp_path, [("a", t0 + dt.timedelta(seconds=i), 1.0) for i in at])
+    schema = "source string, ts timestamp, value double"
+    for part in ([8, 0, 100], [103, 5], [5000]):  # files are read in the order of their times; the last one moves the watermark on
+        rows = [("a", t0 + dt.timedelta(seconds=i), 1.0) for i in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = sorted((r.end_s - r.start_s, r.events) for r in run_available(moments(s, 10.0, "1 hour")).collect())
     assert got == [(3.0, 2), (8.0, 3)]
