@@ -3,7 +3,7 @@
 Each tree hashes a vector to a string of 64 bits, the signs of random projections. In the sorted array of a tree the
 longest matches of a string's prefix stand next to it on both sides, shorter ones further away: going outward is
 ascending the tree. Candidates of all trees are taken together in the order of the matching length, rated with a sketch of 128 further
-bits, and the best are compared exactly.
+bits, and the best are compared exactly. Where neighbours may be far, no order of hashes brings them near: then every vector that asks is compared with all.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from sonarlake.plans.lineage import group_bounds, keep, whole_groups
 
 TREES = 10
 REACH = 8  # places on each side in each tree
-FAR_REACH = 1000  # the same where no least cosine is given and neighbours may be far
+SCAN_ROWS = 2_000_000  # vectors that a task holds when all are compared
+SCAN_PARTS = 16  # parts of the vectors at least, when all are compared
+SCAN_SENT = 1000  # so many vectors that ask are sent to every task; more are shuffled
 SAMPLE = 20_000  # vectors whose hashes set the borders of the parts of a tree; all vectors are indexed
 PART_ROWS = 60_000
 BROADCAST_COPIES = 100_000  # more ids of copies than this are joined by an exchange
@@ -103,6 +105,122 @@ def _bit_count(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int16)
 
 
+def best_pairs(asker: np.ndarray, ids: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of every asker, by cosine and then id, in the order of askers; repeated pairs count once."""
+    order = np.lexsort((ids, -cosine, asker))
+    asker, ids, cosine = asker[order], ids[order], cosine[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (asker[1:] != asker[:-1]) | (ids[1:] != ids[:-1])
+    asker, ids, cosine = asker[new], ids[new], cosine[new]
+    first = np.flatnonzero(np.r_[True, asker[1:] != asker[:-1]]) if len(asker) else np.empty(0, int)
+    top = np.arange(len(asker)) - np.repeat(first, np.diff(np.r_[first, len(asker)])) < k
+    return asker[top], ids[top], cosine[top]
+
+
+class Scan:
+    """Vectors that ask, compared with every vector that is shown: the ``k`` best of each with a cosine of at least ``least``, exactly."""
+
+    PENDING = 500_000
+
+    def __init__(self, ids: np.ndarray, unit: np.ndarray, least: np.ndarray, k: int):
+        self.ids, self.unit, self.least, self.k = ids, unit, least.astype(np.float32), k
+        self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pending = 0
+
+    def see(self, ids: np.ndarray, unit: np.ndarray) -> None:
+        for i in range(0, len(self.ids), 1024):
+            for j in range(0, len(ids), 2048):
+                ask, shown = self.unit[i : i + 1024], unit[j : j + 2048]
+                near = np.flatnonzero(ask @ shown.T >= self.least[i : i + 1024, None])
+                for n in range(0, len(near), self.PENDING):
+                    r, c = np.divmod(near[n : n + self.PENDING], len(shown))
+                    other = self.ids[i + r] != ids[j + c]
+                    r, c = i + r[other], j + c[other]
+                    self.pairs.append((r, ids[c], np.einsum("ij,ij->i", self.unit[r], unit[c], dtype=np.float64)))
+                    self.pending += len(r)
+                    if self.pending > self.PENDING:
+                        self.shrink()
+
+    def shrink(self) -> None:
+        """Keep the best; whoever has ``k`` needs no worse ones."""
+        r, ids, cosine = best_pairs(*(np.concatenate(z) for z in zip(*self.pairs)), self.k)
+        self.pairs, self.pending = [(r, ids, cosine)], 0
+        full = np.flatnonzero(np.bincount(r, minlength=len(self.ids)) == self.k)
+        last = np.searchsorted(r, full, side="right") - 1
+        self.least[full] = np.maximum(self.least[full], cosine[last] - 1e-5)  # 32-bit products are that near
+
+    def batch(self) -> pa.RecordBatch:
+        if self.pairs:
+            self.shrink()
+        r, ids, cosine = self.pairs[0] if self.pairs else (np.empty(0, int), np.empty(0, np.int64), np.empty(0))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[r], pa.int64()), pa.array(ids, pa.int64()), pa.array(cosine, pa.float64())], ["a", "b", "cosine"])
+
+
+def scanned_pairs(units: DataFrame, askers: DataFrame, rows: int, asking: int, k: int, min_cosine: float | None, seed: int = 5) -> DataFrame:
+    """The exact ``k`` nearest b of every a of ``askers`` among all ``units``: a, b, cosine. Both hold id, unit, maybe repeated.
+
+    The k-th best in a sample is a bound that most vectors fail at once. All the same every asker meets every vector, so time grows with the product of both.
+    Vectors are shuffled once, askers once for each part of them.
+    """
+    # distinct, since a repeated row would be taken for two neighbours
+    sample = {r.id: r.unit for r in units.select("id", "unit").sample(min(1.0, SAMPLE * 1.2 / max(1, rows)), seed).limit(SAMPLE).collect()}
+    some = _matrix(list(sample.values())) if sample else None
+    floor = -2.0 if min_cosine is None else min_cosine - 1e-5
+
+    def bounds(unit: np.ndarray) -> np.ndarray:
+        out = np.full(len(unit), floor, np.float32)
+        if some is not None and len(some) > k:
+            for i in range(0, len(unit), 256):
+                score = unit[i : i + 256] @ some.T  # with the asker itself, maybe: hence the next one
+                out[i : i + 256] = np.maximum(floor, np.partition(score, -k - 1, axis=1)[:, -k - 1] - 1e-5)
+        return out
+
+    pairs = "a long, b long, cosine double"
+    if asking <= SCAN_SENT:
+        sent = {r.id: r.unit for r in askers.select("id", "unit").collect()}
+        if not sent:
+            return units.sparkSession.createDataFrame([], pairs)
+        ask_ids, ask_unit = np.array(list(sent), np.int64), _matrix(list(sent.values()))
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scan = Scan(ask_ids, ask_unit, bounds(ask_unit), k)
+            for b in batches:
+                if b.num_rows:
+                    scan.see(b["id"].to_numpy(), _matrix(b["unit"]))
+            yield scan.batch()
+
+        found = units.select("id", "unit").mapInArrow(meet, pairs)
+    else:
+        parts = max(SCAN_PARTS, ceil(rows / SCAN_ROWS))
+
+        def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b["id"], b["unit"], pa.array(bounds(_matrix(b["unit"])), pa.float32())], ["id", "unit", "least"])
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            for whole in batches:
+                vectors = whole.num_rows - pc.sum(whole["asks"]).as_py() if whole.num_rows else 0
+                if vectors:
+                    b = whole.slice(0, vectors)
+                    held.append((b["id"].to_numpy(), _matrix(b["unit"])))
+                if vectors < whole.num_rows:
+                    b = whole.slice(vectors)
+                    scan = Scan(b["id"].to_numpy(), _matrix(b["unit"]), b["least"].to_numpy(), k)
+                    for ids, unit in held:
+                        scan.see(ids, unit)
+                    yield scan.batch()
+
+        every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+        ask = askers.select("id", "unit").dropDuplicates(["id"]).mapInArrow(bounded, "id long, unit binary, least float").select("id", "unit", "least", F.lit(True).alias("asks"), every)
+        shown = units.select("id", "unit", F.lit(0.0).cast("float").alias("least"), F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+        # a partition is one part of the vectors, and after them all askers
+        found = shown.unionByName(ask).repartitionById(parts, "part").sortWithinPartitions("asks").mapInArrow(meet, pairs)
+    best = found.repartition("a").dropDuplicates(["a", "b"]).withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b")))
+    return best.where(F.col("r") <= k).drop("r")
+
+
 def neighbour_pairs(units: DataFrame, rows: int, k: int, min_cosine: float | None, trees: int = TREES, reach: int = REACH, seed: int = 5) -> DataFrame:
     """Pairs of different vectors with their exact cosine: a, b, cosine, maybe more than once. ``units``: id, asks, unit; read several times.
 
@@ -201,12 +319,12 @@ def nearest(vectors: DataFrame, k: int = 10, min_cosine: float | None = None, as
     """The ``k`` most similar other vectors of every vector that ``asks`` (all by default): vec_id, other_id, cosine, rank (by cosine, then other_id).
 
     ``asks`` is a condition on vec_id; all vectors are searched. With ``min_cosine`` only neighbours of at least that cosine are given.
-    ``reach`` is how many places on each side of a vector each tree gives (REACH with min_cosine, else FAR_REACH). Vectors that are null, empty, all zero or hold a NaN
+    ``reach`` is how many places on each side of a vector each tree gives (REACH with min_cosine); with neither of the two, the vectors
+    that ask are compared with all, exactly. Vectors that are null, empty, all zero or hold a NaN
     take no part; repeated rows count once; copies of a direction (also scaled ones) are compared once and then
     expanded, up to k of them for each vector. An empty table gives an empty result; other columns are ignored.
     """
     asks = F.lit(True) if asks is None else asks
-    reach = reach or (FAR_REACH if min_cosine is None else REACH)
     units = keep(canonical_vectors(vectors))
     low = Window.partitionBy("digest").orderBy("vec_id")
     once = keep(units.groupBy("digest", "vec_id").agg(F.lit(1).alias("one")).drop("one"))
@@ -221,7 +339,12 @@ def nearest(vectors: DataFrame, k: int = 10, min_cosine: float | None = None, as
         # a copy may ask where the vector that stands for it does not
         heard = names.where("size > 1 and any_asks").select("id", F.lit(True).alias("heard"))
         reps = reps.join(bounded(copies), "id", "left_anti").join(bounded(heard), "id", "left").select("id", (F.col("asks") | F.coalesce("heard", F.lit(False))).alias("asks"), "unit")
-    found = keep(neighbour_pairs(reps, units.count(), k, min_cosine, trees, reach, seed).dropDuplicates(["a", "b"]))
+    rows = units.count()
+    if min_cosine is None and reach is None:
+        asking = names.where("any_asks").count()
+        found = keep(scanned_pairs(reps, reps.where("asks"), rows, asking, k, None, seed))
+    else:
+        found = keep(neighbour_pairs(reps, rows, k, min_cosine, trees, reach or REACH, seed).dropDuplicates(["a", "b"]))
     mutual = found if min_cosine is None else found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     near = mutual.unionByName(names.where("size > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine")))
     names = names.select("id", "digest")

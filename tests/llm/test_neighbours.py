@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sonarlake.llm import neighbours
 from sonarlake.llm.neighbours import canonical_vectors, nearest, similar_pairs
 
 COLS = "vec_id long, matrix array<float>, feature_names array<string>, id int, digest string"
@@ -77,3 +78,18 @@ def test_empty_and_one(spark):
     df = spark.createDataFrame(rows_of(np.ones((1, 24))), COLS)
     assert similar_pairs(df, 10, 0.9).count() == 0
     assert similar_pairs(df.limit(0), 10, 0.9).count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_far_neighbours_are_exact(spark, monkeypatch, sent):
+    monkeypatch.setattr(neighbours, "SCAN_SENT", sent)
+    r = np.random.default_rng(11)
+    x = r.normal(size=(3000, 24))
+    df = spark.createDataFrame(rows_of(x) + rows_of(x[:40]), COLS)
+    got = nearest(df, 10, asks=F.col("vec_id") % 20 == 0).toPandas().sort_values(["vec_id", "rank"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 3000, 20):
+        s = u @ u[i]
+        s[i] = -2
+        assert got[got.vec_id == i].other_id.tolist() == np.argsort(-s)[:10].tolist()
+    assert len(got) == 1500
