@@ -4,6 +4,7 @@ Each tree hashes a vector to a string of 64 bits, the signs of random projection
 longest matches of a string's prefix stand next to it on both sides, shorter ones further away: going outward is
 ascending the tree. Candidates of all trees are taken together in the order of the matching length, rated with a sketch of 128 further
 bits, and the best are compared exactly. Where neighbours may be far, no order of hashes brings them near: then every vector that asks is compared with all.
+So is a vector of a dense group, whose nearest are some of very many with about the same string.
 """
 
 from __future__ import annotations
@@ -320,7 +321,7 @@ def nearest(vectors: DataFrame, k: int = 10, min_cosine: float | None = None, as
 
     ``asks`` is a condition on vec_id; all vectors are searched. With ``min_cosine`` only neighbours of at least that cosine are given.
     ``reach`` is how many places on each side of a vector each tree gives (REACH with min_cosine); with neither of the two, the vectors
-    that ask are compared with all, exactly. Vectors that are null, empty, all zero or hold a NaN
+    that ask are compared with all, exactly. With min_cosine those are that have found half of k or more. Vectors that are null, empty, all zero or hold a NaN
     take no part; repeated rows count once; copies of a direction (also scaled ones) are compared once and then
     expanded, up to k of them for each vector. An empty table gives an empty result; other columns are ignored.
     """
@@ -345,6 +346,14 @@ def nearest(vectors: DataFrame, k: int = 10, min_cosine: float | None = None, as
         found = keep(scanned_pairs(reps, reps.where("asks"), rows, asking, k, None, seed))
     else:
         found = keep(neighbour_pairs(reps, rows, k, min_cosine, trees, reach or REACH, seed).dropDuplicates(["a", "b"]))
+    if min_cosine is not None:
+        # in a dense group the nearest lie beyond any fixed reach: whoever has found many is compared with all
+        crowded = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count().where(F.col("count") >= max(1, k // 2)).select("id")
+        crowded = keep(reps.where("asks").select("id").distinct().join(crowded, "id", "left_semi"))
+        if many := crowded.count():
+            exact = scanned_pairs(reps, reps.where("asks").join(crowded, "id", "left_semi"), rows, many, k, min_cosine, seed).where(F.col("cosine") >= min_cosine - 1e-7)
+            exact = exact.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
+            found = keep(found.unionByName(exact).dropDuplicates(["a", "b"]))
     mutual = found if min_cosine is None else found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     near = mutual.unionByName(names.where("size > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine")))
     names = names.select("id", "digest")

@@ -93,3 +93,19 @@ def test_far_neighbours_are_exact(spark, monkeypatch, sent):
         s[i] = -2
         assert got[got.vec_id == i].other_id.tolist() == np.argsort(-s)[:10].tolist()
     assert len(got) == 1500
+
+
+@pytest.mark.parametrize("dense", [300, 3000])
+def test_nearest_in_a_dense_group(spark, dense):
+    r = np.random.default_rng(13)
+    names = [f"f{i:02d}" for i in range(40)]
+    x = r.normal(size=(dense + 3000, 40))
+    x[:dense] = np.full(40, 40**-0.5) + r.normal(0, (0.02 / 40) ** 0.5, (dense, 40))
+    x = x.astype(np.float32)
+    rows = [(i, v.tolist(), names, 1, "d") for i, v in enumerate(x)]
+    got = {tuple(p) for p in similar_pairs(spark.createDataFrame(rows, COLS), 10, 0.96).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(min(i, j), max(i, j)) for i, best in enumerate(np.argsort(-s, axis=1)[:, :10].tolist()) for j in best if s[i, j] >= 0.96}
+    assert len(want) > 5 * dense and len(got & want) >= 0.999 * len(want) and len(got - want) <= 0.001 * len(want)
