@@ -57,11 +57,11 @@ def fold(text: str, ascii_only: bool = False) -> str:
     return text.lower().translate(_FOLD_ASCII if ascii_only else _FOLD)
 
 
-def fold_document(text: str) -> tuple[str, bool]:
-    """The folded document, and whether its encoding was lossy (then only ASCII letters are kept)."""
+def fold_document(text: str, all_letters: bool = False) -> tuple[str, bool]:
+    """The folded document, and whether its encoding was lossy (then only ASCII letters are kept, unless ``all_letters`` are)."""
     text = repair(text)
     lossy = "�" in text
-    return fold(_FURNITURE.sub(" ", text), lossy), lossy
+    return fold(_FURNITURE.sub(" ", text), lossy and not all_letters), lossy
 
 
 def edit_distance(pattern_bits: dict[str, int], m: int, text: str, stop: int) -> int:
@@ -173,9 +173,8 @@ def automaton(items: list[tuple[int, str]], min_words: int, min_chars: int, most
     return machine, passages
 
 
-def leaked_items(text: str, machine: ahocorasick.Automaton, passages: list[Passage]) -> list[int]:
-    """The test items that a document carries."""
-    letters, lossy = fold_document(text)
+def carried(letters: str, lossy: bool, machine: ahocorasick.Automaton, passages: list[Passage]) -> set[int]:
+    """The test items in a folded document."""
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for end, (size, where) in machine.iter(letters):
         for n, at in where:
@@ -187,6 +186,15 @@ def leaked_items(text: str, machine: ahocorasick.Automaton, passages: list[Passa
             continue
         if p.found(letters, places):
             out.add(p.item)
+    return out
+
+
+def leaked_items(text: str, machine: ahocorasick.Automaton, passages: list[Passage]) -> list[int]:
+    """The test items that a document carries. Of a lossy one all letters are searched as well: little of it may be lost."""
+    letters, lossy = fold_document(text)
+    out = carried(letters, lossy, machine, passages)
+    if lossy:
+        out |= carried(fold_document(text, True)[0], False, machine, passages)
     return sorted(out)
 
 

@@ -106,3 +106,12 @@ def test_blocks_of_items(spark, monkeypatch):
 def test_short_passage_must_be_whole():
     p = Passage(1, "kel ros gra", False, 12, 24, 4)
     assert [w[:3] for w in p.windows] == [(0, len(fold("kelrosgra")), 0)]
+
+
+def test_one_lost_character_loses_no_script(spark):
+    r = random.Random(8)
+    for item, letters, gap in ((1, "абвгдежзиклмнопрст", " "), (2, "".join(map(chr, range(0x4E00, 0x4E3C))), "")):
+        noise = lambda n: gap.join("".join(r.choice(letters) for _ in range(r.randint(4, 8))) for _ in range(n))  # noqa: B023, E731
+        p = noise(20)
+        docs = [(1, noise(30) + "\n" + p + "\n" + noise(30) + " Gr\ufffd", 0, ""), (2, noise(30) + "\n" + p[:50] + "\ufffd" + p[51:] + "\n" + noise(30), 0, ""), (3, noise(80) + "\ufffd", 0, "")]
+        assert sorted(map(tuple, leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(item, p, "")], ITEMS)).collect())) == [(1, item), (2, item)]
