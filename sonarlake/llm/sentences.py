@@ -294,13 +294,18 @@ def has_case(speech_parts: list[str]) -> bool:
     """Whether letter case tells anything: not in capitals throughout, nor in scripts without it."""
     upper = lower = 0
     for s in speech_parts:
-        upper += sum(map(str.isupper, s[:400]))
-        lower += sum(map(str.islower, s[:400]))
-        if upper + lower > 600:
-            break
+        upper += sum(map(str.isupper, s))
+        lower += sum(map(str.islower, s))
     return lower > upper
 
 
+def script_letters(speech_parts: list[str]) -> tuple[int, int, int]:
+    """Thai letters, Chinese or Japanese ones, and all letters of the whole text."""
+    thai = sum(len(_THAI.findall(s)) for s in speech_parts)
+    cjk = sum(len(_CJK.findall(s)) for s in speech_parts)
+    return thai, cjk, sum(sum(map(str.isalpha, s)) for s in speech_parts)
+
+
 def _silver(key: tuple, info: tuple) -> int | None:
     """What letter case and closed classes say for certain about a candidate; None where they don't."""
     _, mark, closed, how, _, on, _ = key
@@ -404,9 +409,7 @@ def sentence_ends(text: str, model: Model) -> list[int]:
     doc = Document(text)
     ends = list(doc.units)
     speech = [r[0] for r in doc.runs]
-    thai = sum(len(_THAI.findall(s[:300])) for s in speech[:20])
-    cjk = sum(len(_CJK.findall(s[:300])) for s in speech[:20])
-    letters = sum(map(str.isalpha, "".join(s[:300] for s in speech[:20])))
+    thai, cjk, letters = script_letters(speech)
     bare = False
     if cjk * 2 > letters > 0:
         bare = 10 * sum(len(_FULL.findall(s)) for s in speech) < sum(len(r[3]) or 1 for r in doc.runs)

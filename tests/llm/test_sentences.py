@@ -101,3 +101,10 @@ def test_tables(spark):
     assert {r.doc_id: r["count"] for r in got} == {1: 2, 4: 2, 5: 10_000}
     assert sentences(df.limit(0)).count() == 0
     assert Document("﻿").runs == [] and Document("1\n00:00:01,000 --> 00:00:02,000\n").runs == []
+
+
+def test_an_opening_does_not_decide_for_the_whole_text(model):
+    assert has_case(["THE TITLE IN CAPITALS " * 40 + "and then he goes on and on " * 90])
+    assert not has_case(["a few words " * 40 + "AND THEN ALL IN CAPITALS " * 90])
+    text = "1\n00:00:01,000 --> 00:00:02,000\n" + "latin letters " * 30 + "ก" * 900 + " " + "ข" * 900
+    assert text.index(" ข") in sentence_ends(text, model)
