@@ -1,10 +1,12 @@
 """The most similar vectors of every vector, by a forest of sorted hash strings.
 
-Each tree hashes a vector to a string of 64 bits, the signs of random projections. In the sorted array of a tree the
-longest matches of a string's prefix stand next to it on both sides, shorter ones further away: going outward is
-ascending the tree. Candidates of all trees are taken together in the order of the matching length, rated with a sketch of 128 further
-bits, and the best are compared exactly. Where neighbours may be far, no order of hashes brings them near: then every vector that asks is compared with all.
-So is a vector of a dense group, whose nearest are some of very many with about the same string.
+Each tree hashes a vector to a string of 64 bits, the sides of 64 planes, and keeps all strings in a sorted array that is cut into ranges. A vector
+descends in every tree to the strings with the longest prefix in common with its own, and ascends in all trees together: one prefix
+length holds for the whole forest, and it is shortened until the strings that share it are as many as candidates are wanted. How many
+share a prefix is told by the sample that the forest is fitted on; in each tree at least ``reach`` strings of the longest prefixes are
+taken, by the true array. Entries carry the vector in 8-bit numbers, so that candidates are rated where they stand, and only the best leave their task;
+these are compared exactly. In a group so dense that a vector finds many partners, its nearest are some of very many with about the same
+string: such vectors are compared with all.
 """
 
 from __future__ import annotations
@@ -14,24 +16,27 @@ from hashlib import blake2b
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonarlake.plans.lineage import group_bounds, keep, whole_groups
+from sonarlake.plans.lineage import keep
 
-TREES = 10
-REACH = 8  # places on each side in each tree
+TREES = 8
+REACH = 32  # strings of the longest common prefixes that each tree gives at least
+CANDIDATES = 4000  # strings that all trees together give, when neighbours are near
 SCAN_ROWS = 2_000_000  # vectors that a task holds when all are compared
 SCAN_PARTS = 16  # parts of the vectors at least, when all are compared
 SCAN_SENT = 1000  # so many vectors that ask are sent to every task; more are shuffled
-SAMPLE = 20_000  # vectors whose hashes set the borders of the parts of a tree; all vectors are indexed
-PART_ROWS = 60_000
+SAMPLE = 20_000  # vectors that planes, borders and numbers of strings under a prefix are taken from; all vectors are indexed
+SAMPLE_A_PART, MOST_SAMPLE = 16, 400_000  # the sample grows with the number of ranges, up to that many
+PART_ROWS = 125_000
 BROADCAST_COPIES = 100_000  # more ids of copies than this are joined by an exchange
+BROADCAST_PAIRS = 500_000  # more pairs than this (16 bytes each) are joined by an exchange
 IGNORED = ("constant_0",)
 _SEP = "\x1f"
+_NO, _BITS = 255, 64  # level of an entry that doesn't ask; length of a string
 
 
 def canonical_vectors(vectors: DataFrame, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
@@ -81,20 +86,51 @@ def canonical_vectors(vectors: DataFrame, ignored: tuple[str, ...] = IGNORED) ->
     return named.mapInArrow(read, "vec_id long, digest binary, unit binary")
 
 
-def bisecting_planes(sample: np.ndarray, trees: int, seed: int) -> list[np.ndarray]:
-    """For each tree the normals of 64 planes, each halfway between two vectors of the sample: they cut where the vectors differ."""
+def bisecting_planes(sample: np.ndarray, trees: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each tree the normals and offsets of 64 planes that halve the sample.
+
+    Normals are random rotations stretched along the directions in which the sample spreads: planes cut where vectors differ, and those of one tree say different things.
+    """
+    d = sample.shape[1]
+    _, spread, axes = np.linalg.svd(sample - sample.mean(0), full_matrices=False)
     out = []
     for t in range(trees):
         rng = np.random.default_rng([seed, t])
-        d = sample[rng.integers(len(sample), size=64)] - sample[rng.integers(len(sample), size=64)]
-        norm = np.linalg.norm(d, axis=1, keepdims=True)
-        out.append(np.where(norm > 1e-6, d, rng.standard_normal(d.shape)).T.astype(np.float32))
+        turns = [np.linalg.qr(rng.standard_normal((d, d)))[0][: len(spread)] for _ in range(ceil(_BITS / d))]
+        normals = np.concatenate([(axes.T * spread) @ q for q in turns], axis=1)[:, :_BITS]
+        dull = np.linalg.norm(normals, axis=0) < 1e-9  # all of the sample in one direction
+        normals[:, dull] = rng.standard_normal((d, int(dull.sum())))
+        normals = normals.astype(np.float32)
+        out.append((normals, np.median(sample @ normals, axis=0)))
     return out
 
 
-def hash_strings(unit: np.ndarray, planes: np.ndarray) -> np.ndarray:
+def hash_strings(unit: np.ndarray, planes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The strings of 64 bits of one tree as unsigned integers, whose order is that of the strings."""
-    return np.packbits(unit @ planes > 0, axis=1).view(">u8")[:, 0].astype(np.uint64)
+    return np.packbits(unit @ planes[0] > planes[1], axis=1).view(">u8")[:, 0].astype(np.uint64)
+
+
+def prefix_range(h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest string with the first ``level`` bits of ``h``."""
+    low = np.where(level > 0, np.uint64(0xFFFFFFFFFFFFFFFF) << np.minimum(_BITS - level, 63).astype(np.uint64), np.uint64(0))
+    return h & low, h | ~low
+
+
+def longest_prefix(h: np.ndarray, sorted_strings: list[np.ndarray], wanted: float) -> tuple[np.ndarray, np.ndarray]:
+    """The longest prefix length at which arrays hold ``wanted`` strings together, and how many they hold there. ``h``: a row for each array."""
+    n = h.shape[1]
+    low, high = np.zeros(n, int), np.full(n, _BITS)
+    held = np.full(n, sum(map(len, sorted_strings)))
+    for _ in range(7):
+        level = (low + high + 1) // 2
+        count = np.zeros(n, int)
+        for mine, strings in zip(h, sorted_strings):
+            a, b = prefix_range(mine, level)
+            count += np.searchsorted(strings, b, side="right") - np.searchsorted(strings, a)
+        enough = count >= wanted
+        held = np.where(enough & (level > low), count, held)
+        low, high = np.where(enough, level, low), np.where(enough, high, np.maximum(level - 1, low))
+    return low, held
 
 
 def _matrix(column) -> np.ndarray:
@@ -102,10 +138,6 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(raw, np.float32).reshape(len(column), -1)
 
 
-def _bit_count(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).astype(np.int16)
-
-
 def best_pairs(asker: np.ndarray, ids: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` best of every asker, by cosine and then id, in the order of askers; repeated pairs count once."""
     order = np.lexsort((ids, -cosine, asker))
@@ -222,88 +254,139 @@ def scanned_pairs(units: DataFrame, askers: DataFrame, rows: int, asking: int, k
     return best.where(F.col("r") <= k).drop("r")
 
 
-def neighbour_pairs(units: DataFrame, rows: int, k: int, min_cosine: float | None, trees: int = TREES, reach: int = REACH, seed: int = 5) -> DataFrame:
-    """Pairs of different vectors with their exact cosine: a, b, cosine, maybe more than once. ``units``: id, asks, unit; read several times.
+def _ids(values) -> np.ndarray:
+    return np.asarray(values, np.int64)
+
 
-    With ``min_cosine`` the candidates of all trees of which one ``asks`` and that agree enough in 128 bits of a sketch are compared, and a < b. Without it every vector that
-    ``asks`` has its candidates rated by vectors of 8-bit numbers and the best 2k of all trees are compared; b is then the neighbour of a.
+def rate_candidates(
+    h: np.ndarray, ids: np.ndarray, unit: np.ndarray, ask: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], reach: int, best: int, least: float | None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(asker, other, score) of the ``best`` candidates of every asker in a range of one tree's sorted array, scores above ``least`` only.
+
+    ``ask``: strings, ids, vectors and levels of those that ask. Askers whose candidates stand side by side are rated together, by all that any of them is shown.
+    """
+    ah, aid, aunit, alevel = ask
+    a, b = prefix_range(ah, alevel)
+    lo, hi = np.searchsorted(h, a), np.searchsorted(h, b, side="right")
+    mine, _ = longest_prefix(ah[None], [h], min(reach, len(h)))
+    a, b = prefix_range(ah, mine)
+    lo, hi = np.minimum(lo, np.searchsorted(h, a)), np.maximum(hi, np.searchsorted(h, b, side="right"))
+    order = np.lexsort((aid, lo, np.log2(np.maximum(hi - lo, 1)).astype(int)))
+    floor = -2.0 if least is None else least
+    for i in range(0, len(order), 512):
+        q = order[i : i + 512]
+        first, last = int(lo[q].min()), int(hi[q].max())
+        bound = np.full(len(q), floor, np.float32)
+        some = np.arange(first, last, 8)
+        if len(some) > best + 1:  # the best of an eighth are a bound for the best of all
+            for j in range(0, len(q), 64):
+                part = aunit[q[j : j + 64]] @ unit[some].T
+                bound[j : j + 64] = np.maximum(floor, np.partition(part, len(some) - best - 1, axis=1)[:, len(some) - best - 1] - 1e-6)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for j in range(first, last, 4096):
+            score = aunit[q] @ unit[j : min(j + 4096, last)].T
+            r, c = np.nonzero(score >= bound[:, None])
+            other = aid[q[r]] != ids[j + c]
+            r, c = r[other], c[other]
+            held.append((aid[q[r]], ids[j + c], score[r, c]))
+            if sum(len(x[0]) for x in held) > 1_000_000:
+                held = [best_pairs(*(np.concatenate(z) for z in zip(*held)), best)]
+        if held:
+            yield best_pairs(*(np.concatenate(z) for z in zip(*held)), best)
+
+
+def neighbour_pairs(units: DataFrame, rows: int, k: int, min_cosine: float | None, trees: int = TREES, reach: int = REACH, candidates: int = CANDIDATES, seed: int = 5) -> DataFrame:
+    """Pairs of different vectors with their exact cosine: a, b, cosine; b is a neighbour of a. ``units``: id, asks, unit; read several times, rows may be repeated.
+
+    The best by 8-bit numbers (4k of each tree with ``min_cosine``, else 2k) are put together and the best of these (4k or 2k) compared exactly.
     """
-    sample = units.select("unit").sample(min(1.0, SAMPLE * 1.2 / max(1, rows)), seed).limit(SAMPLE).collect()
+    parts = max(1, ceil(rows / PART_ROWS))
+    size = min(MOST_SAMPLE, SAMPLE + SAMPLE_A_PART * parts)
+    sample = units.select("unit").sample(min(1.0, size * 1.2 / max(1, rows)), seed).limit(size).collect()
     if not sample:
         return units.sparkSession.createDataFrame([], "a long, b long, cosine double")
     some = np.stack([np.frombuffer(r.unit, np.float32) for r in sample])
-    parts = max(1, ceil(rows / PART_ROWS))
-    planes = bisecting_planes(some, trees, seed)
-    aside = np.random.default_rng(seed).standard_normal((2, some.shape[1], 64)).astype(np.float32)  # of the sketch, in all directions alike
-    borders = [np.quantile(hash_strings(some, p).astype(np.float64), np.arange(1, parts) / parts) for p in planes]
-    most_apart, rank_to = 128, 2 * k
-    if min_cosine is not None:
-        # 3.5 standard deviations beyond the disagreement that min_cosine makes
-        p = np.arccos(np.clip(min_cosine, -1, 1)) / np.pi
-        most_apart = int(np.ceil(128 * p + 3.5 * np.sqrt(128 * p * (1 - p))))
+    d = some.shape[1]
+    planes = bisecting_planes(some[:SAMPLE], trees, seed)
+    strings = [np.sort(hash_strings(some, p)) for p in planes]
+    borders = [s[(np.arange(1, parts) * len(s)) // parts] for s in strings]
+    told = [np.sort(hash_strings(some[:SAMPLE], p)) for p in planes]
+    weight = rows / len(told[0])  # vectors that one of the sample stands for
+    best = (2 if min_cosine is None else 4) * k
+    least = None if min_cosine is None else min_cosine - 0.01  # what 8-bit numbers may be off by
+    record = np.dtype([("h", "<u8"), ("id", "<i8"), ("level", "u1"), ("code", "i1", d)])
+
+    def levels(h: np.ndarray) -> np.ndarray:
+        """The prefix length to which all trees ascend; where the sample is too thin to tell, prefixes are taken to halve with every bit."""
+        level, held = longest_prefix(h, told, max(8.0, candidates / weight))
+        deeper = np.log2(np.maximum(held * weight / max(1, candidates), 1.0))
+        return np.minimum(_BITS, level + np.where(held <= 16 * trees, np.floor(deeper), 0)).astype(int)
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            unit = _matrix(b["unit"])
-            if min_cosine is None:
-                code = np.round(unit * (127 / np.maximum(np.abs(unit).max(1, keepdims=True), 1e-30))).astype(np.int8)
-            else:
-                code = np.stack([hash_strings(unit, p) for p in aside], 1).view(np.int8)
-            codes = pa.array([c.tobytes() for c in code], pa.binary())
+            unit, asks, ids = _matrix(batch["unit"]), batch["asks"].to_numpy(zero_copy_only=False).astype(bool), _ids(batch["id"])
+            h = np.stack([hash_strings(unit, p) for p in planes])
+            level = np.full(len(ids), _NO)
+            if asks.any():
+                level[asks] = levels(h[:, asks])
+            made = np.empty(len(ids), record)
+            made["id"], made["level"] = ids, level
+            made["code"] = np.round(unit * (127 / np.maximum(np.abs(unit).max(1, keepdims=True), 1e-30)))
+            out: tuple[list, list, list] = ([], [], [])
             for t in range(trees):
-                h = hash_strings(unit, planes[t])
-                part = np.searchsorted(borders[t], h.astype(np.float64), side="right") + t * parts
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(h.view(np.int64)), b["id"], b["asks"], codes], ["part", "h", "id", "asks", "code"])
-
-    # a part is a range of one tree's sorted array
-    ready = units.mapInArrow(plant, "part int, h long, id long, asks boolean, code binary").repartition(trees * parts, "part").sortWithinPartitions("part")
-
-    def agreeing(h: np.ndarray, ids: np.ndarray, code: np.ndarray, asks: np.ndarray) -> Iterator[tuple]:
-        bits = np.ascontiguousarray(code).view(np.uint64)
-        for off in range(1, min(reach, len(h) - 1) + 1):
-            x, y = slice(0, -off), slice(off, None)
-            apart = _bit_count(bits[x] ^ bits[y]).sum(1)
-            ok = np.flatnonzero((apart <= most_apart) & (ids[x] != ids[y]) & (asks[x] | asks[y]))
-            yield np.minimum(ids[x][ok], ids[y][ok]), np.maximum(ids[x][ok], ids[y][ok]), 1 - apart[ok] / 128
-
-    def rated(h: np.ndarray, ids: np.ndarray, code: np.ndarray, asks: np.ndarray) -> Iterator[tuple]:
+                made["h"] = h[t]
+                right = np.searchsorted(borders[t], h[t], side="right")
+                same = right - np.searchsorted(borders[t], h[t], side="left")  # a string that fills ranges is dealt to them by id
+                own = np.where(same > 1, right - (ids * 0x9E3779B1 % 0x7FFFFFFF) % np.maximum(same, 1), right)
+                a, b = prefix_range(h[t], np.where(asks, level, _BITS))
+                first, last = np.searchsorted(borders[t], a, side="right"), np.searchsorted(borders[t], b, side="right")
+                first, last = np.where(asks & (same <= 1), first, own), np.where(asks & (same <= 1), last, own)
+                # to its own range as an entry; to the others that hold strings of its prefix as a question
+                for asked, target, rows_ in [(False, own, np.arange(len(ids))), *((True, first + i, np.flatnonzero((first + i <= last) & (first + i != own))) for i in range(int((last - first).max()) + 1))]:
+                    target = target[rows_]
+                    order = np.argsort(target, kind="stable")
+                    cut = np.flatnonzero(np.r_[True, np.diff(target[order]) != 0]) if len(order) else np.empty(0, int)
+                    for i, j in zip(cut, np.r_[cut[1:], len(order)]):
+                        out[0].append(int(target[order[i]]) + t * parts)
+                        out[1].append(asked)
+                        out[2].append(made[rows_[order[i:j]]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary())], ["part", "asked", "entries"])
+
+    def unique(blobs: list[bytes]) -> np.ndarray:
+        all_ = np.frombuffer(b"".join(blobs), record)
+        all_ = all_[np.lexsort((all_["level"], all_["id"], all_["h"]))]
+        return all_[np.r_[True, (all_["id"][1:] != all_["id"][:-1]) | (all_["h"][1:] != all_["h"][:-1])]] if len(all_) else all_
+
+    def lengthened(code: np.ndarray) -> np.ndarray:
         unit = code.astype(np.float32)
-        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-30)
-        around = np.r_[-reach:0, 1 : reach + 1]
-        for i in range(0, len(asks), 64):
-            q = asks[i : i + 64]
-            at = q[:, None] + around
-            inside = (at >= 0) & (at < len(h))
-            at = np.clip(at, 0, len(h) - 1)
-            score = np.where(inside, np.einsum("qd,qcd->qc", unit[q], unit[at], optimize=True), -2)
-            best = np.argpartition(-score, min(rank_to, score.shape[1] - 1), axis=1)[:, :rank_to]
-            s = np.take_along_axis(score, best, 1)
-            r, c = np.nonzero(s > -2)
-            yield ids[q[r]], ids[at[r, best[r, c]]], s[r, c]
-
-    def climb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in whole_groups(batches, ["part"]):
-            edge = group_bounds(b, ["part"])
-            for i, j in zip(edge[:-1], edge[1:]):
-                g = b.iloc[i:j]
-                h, ids = g.h.to_numpy().view(np.uint64), g.id.to_numpy()
-                order = np.lexsort((ids, h))
-                order = order[np.r_[True, ids[order][1:] != ids[order][:-1]]]  # repeated rows stand together
-                h, ids, asks = h[order], ids[order], g.asks.to_numpy()[order].astype(bool)
-                code = np.frombuffer(b"".join(g.code.to_numpy()[order]), np.int8).reshape(len(order), -1)
-                found = [] if len(h) < 2 else list(agreeing(h, ids, code, asks) if min_cosine is not None else rated(h, ids, code, np.flatnonzero(asks)))
-                if found:
-                    p, q, s = (np.concatenate(z) for z in zip(*found))
-                    yield pd.DataFrame({"a": p, "b": q, "s": s.astype(np.float64)})
-
-    pairs = ready.mapInPandas(climb, "a long, b long, s double").groupBy("a", "b").agg(F.max("s").alias("s"))
-    if min_cosine is None:
-        best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b")))
-        pairs = best.where(F.col("r") <= rank_to)
-    left = units.select("id", "unit")
-    joined = pairs.select("a", "b").join(left.withColumnsRenamed({"id": "a", "unit": "u"}), "a").join(left.withColumnsRenamed({"id": "b", "unit": "w"}), "b")
+        return unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-30)
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        for batch in batches:
+            for part, asked, blob in zip(batch["part"].to_pylist(), batch["asked"].to_pylist(), batch["entries"].to_pylist()):
+                tree.setdefault(part, ([], []))[asked].append(blob)
+        for held, asked in tree.values():
+            entries, guests = unique(held), unique(asked)
+            if not len(entries):
+                continue
+            unit = lengthened(entries["code"])
+            own = entries["level"] != _NO
+            ask = tuple(np.concatenate(z) for z in ((entries["h"][own], guests["h"]), (entries["id"][own], guests["id"]), (unit[own], lengthened(guests["code"])), (entries["level"][own].astype(int), guests["level"].astype(int))))
+            if len(ask[0]):
+                for a, b, s in rate_candidates(entries["h"].copy(), entries["id"].copy(), unit, ask, reach, best, least):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s.astype(np.float32))], ["a", "b", "s"])
+
+    # a partition is a range of one tree's sorted array
+    planted = units.select("id", "asks", "unit").mapInArrow(plant, "part int, asked boolean, entries binary").repartitionById(trees * parts, "part")
+    rated = planted.mapInArrow(climb, "a long, b long, s float").groupBy("a", "b").agg(F.max("s").alias("s"))
+    pairs = keep(rated.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("r") <= best).select("a", "b"))
+    bounded = F.broadcast if pairs.count() <= BROADCAST_PAIRS else (lambda df: df)
+    vectors = units.select("id", "unit")
+    others = vectors.withColumnsRenamed({"id": "b", "unit": "w"}).join(bounded(pairs), "b")
+    askers = vectors.withColumnsRenamed({"id": "a", "unit": "u"}).join(bounded(pairs.select("a").distinct()), "a", "left_semi").dropDuplicates(["a"])
 
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -313,15 +396,16 @@ def neighbour_pairs(units: DataFrame, rows: int, k: int, min_cosine: float | Non
             out = pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(c)], ["a", "b", "cosine"])
             yield out if min_cosine is None else out.filter(pc.greater_equal(out["cosine"], min_cosine - 1e-7))
 
-    return joined.select("a", "b", "u", "w").mapInArrow(cosine, "a long, b long, cosine double")
+    return others.join(askers, "a").select("a", "b", "u", "w").mapInArrow(cosine, "a long, b long, cosine double")
 
 
-def nearest(vectors: DataFrame, k: int = 10, min_cosine: float | None = None, asks: Column | None = None, trees: int = TREES, reach: int | None = None, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, min_cosine: float | None = None, asks: Column | None = None, trees: int = TREES, reach: int | None = None, share: float | None = None, seed: int = 5) -> DataFrame:
     """The ``k`` most similar other vectors of every vector that ``asks`` (all by default): vec_id, other_id, cosine, rank (by cosine, then other_id).
 
     ``asks`` is a condition on vec_id; all vectors are searched. With ``min_cosine`` only neighbours of at least that cosine are given.
-    ``reach`` is how many places on each side of a vector each tree gives (REACH with min_cosine); with neither of the two, the vectors
-    that ask are compared with all, exactly. With min_cosine those are that have found half of k or more. Vectors that are null, empty, all zero or hold a NaN
+    ``reach`` is how many strings of the longest common prefixes each tree gives at least (REACH by default), ``share`` which part of all vectors the trees
+    together give as candidates (CANDIDATES of them by default). With none of the three, the vectors that ask are compared with all, exactly; with min_cosine
+    those are that have found half of k or more. Vectors that are null, empty, all zero or hold a NaN
     take no part; repeated rows count once; copies of a direction (also scaled ones) are compared once and then
     expanded, up to k of them for each vector. An empty table gives an empty result; other columns are ignored.
     """
@@ -341,11 +425,15 @@ def nearest(vectors: DataFrame, k: int = 10, min_cosine: float | None = None, as
         heard = names.where("size > 1 and any_asks").select("id", F.lit(True).alias("heard"))
         reps = reps.join(bounded(copies), "id", "left_anti").join(bounded(heard), "id", "left").select("id", (F.col("asks") | F.coalesce("heard", F.lit(False))).alias("asks"), "unit")
     rows = units.count()
-    if min_cosine is None and reach is None:
+    if min_cosine is None and reach is None and share is None:
         asking = names.where("any_asks").count()
         found = keep(scanned_pairs(reps, reps.where("asks"), rows, asking, k, None, seed))
     else:
-        found = keep(neighbour_pairs(reps, rows, k, min_cosine, trees, reach or REACH, seed).dropDuplicates(["a", "b"]))
+        wanted = CANDIDATES if share is None else ceil(share * rows)
+        found = neighbour_pairs(reps, rows, k, min_cosine, trees, reach or REACH, wanted, seed)
+        if min_cosine is not None:
+            found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
+        found = keep(found.dropDuplicates(["a", "b"]))
     if min_cosine is not None:
         # in a dense group the nearest lie beyond any fixed reach: whoever has found many is compared with all
         crowded = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count().where(F.col("count") >= max(1, k // 2)).select("id")

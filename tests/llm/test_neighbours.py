@@ -74,6 +74,34 @@ def test_recall_without_a_least_cosine(spark):
     assert set(got.vec_id) == set(range(0, 1500, 20)) and (got.groupby("vec_id").size() == 10).all()
 
 
+def test_recall_without_structure(spark):
+    r = np.random.default_rng(19)
+    x = r.normal(size=(4000, 24))
+    got = nearest(spark.createDataFrame(rows_of(x), COLS), 10, asks=F.col("vec_id") % 20 == 0, share=0.05).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[::20] @ u.T
+    s[np.arange(200), np.arange(0, 4000, 20)] = -2
+    best = np.argsort(-s, axis=1)[:, :10]
+    assert sum(len(set(b) & set(got[got.vec_id == 20 * i].other_id)) for i, b in enumerate(best.tolist())) >= 0.9 * 2000
+
+
+def test_ascending_stops_at_the_longest_prefix_that_suffices():
+    h = np.sort(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2))
+    level, held = neighbours.longest_prefix(h[None, ::50], [h], 40)
+    for x, n, c in zip(h[::50], level.tolist(), held.tolist()):
+        common = lambda m: int((h >> np.uint64(64 - m) == x >> np.uint64(64 - m)).sum()) if m else len(h)
+        assert common(n) >= 40 and (n == 64 or common(n + 1) < 40) and (c == common(n) or n == 0)
+
+
+def test_one_string_fills_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART_ROWS", 300)
+    r = np.random.default_rng(23)
+    x = r.normal(size=(1500, 24))
+    x[:900] = x[0] * (1 + 1e-4 * r.random((900, 24)))  # different vectors, nearly all strings equal
+    got = nearest(spark.createDataFrame(rows_of(x), COLS), 5, asks=F.col("vec_id") % 20 == 0, reach=20).toPandas()
+    assert (got.groupby("vec_id").size() == 5).all() and set(got[got.vec_id < 900].other_id) <= set(range(900))
+
+
 def test_empty_and_one(spark):
     df = spark.createDataFrame(rows_of(np.ones((1, 24))), COLS)
     assert similar_pairs(df, 10, 0.9).count() == 0
