@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sonarlake.llm.leakage import Passage, edit_distance, fold, fold_document, leaks
+from sonarlake.llm.leakage import Index, Passage, edit_distance, fold, fold_document, leaked_items, leaks
 from sonarlake.llm.subtitles import repair, repair_with_ends
 
 DOCS = "doc_id long, text string, item_id long, passage string"
@@ -115,3 +115,45 @@ def test_one_lost_character_loses_no_script(spark):
         p = noise(20)
         docs = [(1, noise(30) + "\n" + p + "\n" + noise(30) + " Gr\ufffd", 0, ""), (2, noise(30) + "\n" + p[:50] + "\ufffd" + p[51:] + "\n" + noise(30), 0, ""), (3, noise(80) + "\ufffd", 0, "")]
         assert sorted(map(tuple, leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(item, p, "")], ITEMS)).collect())) == [(1, item), (2, item)]
+
+
+def test_brackets_hide_nothing(spark):
+    r = random.Random(21)
+    items = [(1, "kel (ros gra) " + " ".join(words(r, 16)), ""), (2, " ".join(words(r, 18)), ""), (3, " ".join(words(r, 18)), ""), (4, " ".join(words(r, 18)), "")]
+    noise = lambda n: " ".join(words(r, n))
+    cut = items[3][1].split()
+    docs = [
+        (1, f"{noise(40)}\n{items[0][1]}\n{noise(40)}", 0, ""), (2, f"{noise(40)}\n({items[1][1]})\n{noise(40)}", 0, ""), (3, f"{noise(40)} :(\n{items[2][1]}\n:) {noise(40)}", 0, ""),
+        (4, f"{noise(40)}\n{' '.join(cut[:9])}\n[door creaks]\n{' '.join(cut[9:])}\n{noise(40)}", 0, ""), (5, f"{noise(40)} ({noise(30)}", 0, ""),
+    ]
+    assert sorted(map(tuple, leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect())) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+@pytest.mark.parametrize("size", [3, 5, 8])
+def test_budget_of_edits(size):
+    r = random.Random(size)
+    abc = "abcdfghjklmnopqrstuvwxyz"
+    word = lambda: "".join(r.choice(abc) for _ in range(size))
+    items = [(i, " ".join(word() for _ in range(12))) for i in range(200)]
+    index = Index(items, 12, 24, 4)
+    found = 0
+    for i, text in items:
+        letters = list(text)
+        for at in r.sample([j for j, c in enumerate(letters) if c != " "], 4):
+            letters[at] = r.choice(["", r.choice(abc), letters[at] + r.choice(abc)])
+        found += i in leaked_items(" ".join(word() for _ in range(30)) + " " + "".join(letters) + " " + " ".join(word() for _ in range(30)), index)
+    assert found >= 0.95 * 200
+
+
+def test_budget_without_blanks():
+    r = random.Random(4)
+    han = [chr(c) for c in range(0x4E00, 0x4F00)]
+    items = [(i, "".join(r.choice(han) for _ in range(24))) for i in range(200)]
+    index = Index(items, 12, 24, 4)
+    found = 0
+    for i, text in items:
+        letters = list(text)
+        for at in r.sample(range(24), 3):
+            letters[at] = r.choice(["", r.choice(han)])
+        found += i in leaked_items("".join(r.choice(han) for _ in range(60)) + "".join(letters) + "".join(r.choice(han) for _ in range(60)), index)
+    assert found >= 0.95 * 200
