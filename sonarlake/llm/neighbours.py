@@ -34,6 +34,7 @@ SAMPLE_A_PART, MOST_SAMPLE = 16, 400_000  # the sample grows with the number of
 PART_ROWS = 125_000
 BROADCAST_COPIES = 100_000  # more ids of copies than this are joined by an exchange
 BROADCAST_PAIRS = 500_000  # more pairs than this (16 bytes each) are joined by an exchange
+ASKED_TOGETHER = 32, 512  # least and greatest number of vectors that are rated by the union of their candidates
 IGNORED = ("constant_0",)
 _SEP = "\x1f"
 _NO, _BITS = 255, 64  # level of an entry that doesn't ask; length of a string
@@ -258,6 +259,22 @@ def _ids(values) -> np.ndarray:
     return np.asarray(values, np.int64)
 
 
+def side_by_side(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts ranges of about one size, sorted by their start, into runs whose union is hardly longer than one of them; runs of few ranges may be longer."""
+    few, many = ASKED_TOGETHER
+    new = np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]) if len(lo) else np.empty(0, int)
+    start = 0
+    for i, end in zip(new.tolist(), np.r_[new[1:], len(lo)].tolist()):
+        if i > start and (lo[i] < lo[start] or i - start >= few and hi[i] - lo[start] > 1.5 * (hi[start] - lo[start])):
+            yield start, i
+            start = i
+        while end - start >= many:
+            yield start, start + many
+            start += many
+    if start < len(lo):
+        yield start, len(lo)
+
+
 def rate_candidates(
     h: np.ndarray, ids: np.ndarray, unit: np.ndarray, ask: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], reach: int, best: int, least: float | None
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -273,19 +290,19 @@ def rate_candidates(
     lo, hi = np.minimum(lo, np.searchsorted(h, a)), np.maximum(hi, np.searchsorted(h, b, side="right"))
     order = np.lexsort((aid, lo, np.log2(np.maximum(hi - lo, 1)).astype(int)))
     floor = -2.0 if least is None else least
-    for i in range(0, len(order), 512):
-        q = order[i : i + 512]
+    for i, j in side_by_side(lo[order], hi[order]):
+        q = order[i:j]
         first, last = int(lo[q].min()), int(hi[q].max())
         bound = np.full(len(q), floor, np.float32)
         some = np.arange(first, last, 8)
-        if len(some) > best + 1:  # the best of an eighth are a bound for the best of all
+        if least is None and len(some) > best + 1:  # the best of an eighth are a bound for the best of all
             for j in range(0, len(q), 64):
                 part = aunit[q[j : j + 64]] @ unit[some].T
                 bound[j : j + 64] = np.maximum(floor, np.partition(part, len(some) - best - 1, axis=1)[:, len(some) - best - 1] - 1e-6)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for j in range(first, last, 4096):
             score = aunit[q] @ unit[j : min(j + 4096, last)].T
-            r, c = np.nonzero(score >= bound[:, None])
+            r, c = np.divmod(np.flatnonzero(score >= bound[:, None]), score.shape[1])
             other = aid[q[r]] != ids[j + c]
             r, c = r[other], c[other]
             held.append((aid[q[r]], ids[j + c], score[r, c]))
