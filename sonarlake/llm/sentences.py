@@ -3,9 +3,9 @@
 Every character of the speech is tagged as a boundary or as inside. Only characters that can end a sentence (marks with what closes
 after them) have a score for the boundary; all others are inside with certainty, so that the chain is decoded over the candidates alone.
 Scores are sums of weights of what stands before and after; the weights, the abbreviations and the words that go on after a
-quotation are learned from a bounded sample of documents. Where letter case tells boundaries apart the learner labels
+quotation are counted over all documents, the weights learned from a bounded sample. Where letter case tells boundaries apart the learner labels
 candidates with it; a second set of weights is learned from the same text with its case removed, for capitals throughout and
-scripts without case. Scripts without marks have no such evidence in their own documents: for them the problem defines the
+scripts without case. Script, marks and case are judged for every stretch of cues of one script, not for a document. Scripts without marks have no such evidence in their own documents: for them the problem defines the
 boundary tags by layout, and their emissions are constants.
 """
 
@@ -18,13 +18,18 @@ from collections.abc import Iterator
 from math import exp
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonarlake.llm.subtitles import BRACKETS, MARKUP, cues, is_advert, repair_with_ends
+from sonarlake.llm.subtitles import BRACKETS, HEADER, MARKUP, cues, is_advert, repair_with_ends
 
 LAYOUT_WEIGHT = 50.0  # of the ends of cues, and of Thai blanks, in scripts without marks
-SAMPLE_DOCS = 1500  # documents that the model is fitted on at most
+SAMPLE_DOCS = 1500  # documents that the weights are fitted on at most
+LEAST, LONGEST, DOTTED_SHARE, FINAL_SHARE = 4, 7, 0.9, 0.06  # of abbreviations: times, length, share with a dot, share where only a sentence can end
+LEAST_QUOTED, QUOTED_SHARE = 5, 0.15  # of words after a quotation: times, share of those of their script
+LEAST_PART = 100_000  # a word with a dot counts if it is one of so many at least
+CASED_LETTERS = 40  # a stretch with fewer is judged by the case of its document
+MARKED_CUES = 8  # a stretch of fewer cues is judged by the marks of its document
 _CLOSERS = "\"”“»«’'」』)）\\]›\ufffd"
 _MARKS = re.compile(rf"(?:[.…]+[?!？！؟]*|[?!？！؟]+\.*|[。｡।॥۔]+)(?:[{_CLOSERS}]+|[\xa0\u202f]»)*")
 _FULL = re.compile("[。｡！？]")
@@ -299,13 +304,6 @@ def has_case(speech_parts: list[str]) -> bool:
     return lower > upper
 
 
-def script_letters(speech_parts: list[str]) -> tuple[int, int, int]:
-    """Thai letters, Chinese or Japanese ones, and all letters of the whole text."""
-    thai = sum(len(_THAI.findall(s)) for s in speech_parts)
-    cjk = sum(len(_CJK.findall(s)) for s in speech_parts)
-    return thai, cjk, sum(sum(map(str.isalpha, s)) for s in speech_parts)
-
-
 def _silver(key: tuple, info: tuple) -> int | None:
     """What letter case and closed classes say for certain about a candidate; None where they don't."""
     _, mark, closed, how, _, on, _ = key
@@ -327,44 +325,103 @@ def _silver(key: tuple, info: tuple) -> int | None:
     return None
 
 
-def fit(texts: list[str], rounds: int = 4) -> Model:
-    """A model from a sample of documents: closed classes by counting, weights by gradient steps on the likelihood of labels from case.
+class Counts:
+    """Counts of words that the closed classes are made of: word to (times, times with a dot, times with a dot where only a sentence can end), and followers of quotations by script."""
 
-    The score of a tag depends on the candidate and on the tag before it, as in decoding.
-    """
-    model = Model()
-    docs = [[r[0] for r in Document(t).runs] for t in texts]
-    dotted: Counter = Counter()
-    furniture: Counter = Counter()
-    words: Counter = Counter()
-    quoted: dict[str, Counter] = defaultdict(Counter)
+    def __init__(self) -> None:
+        self.words: Counter = Counter()
+        self.dotted: Counter = Counter()
+        self.furniture: Counter = Counter()
+        self.quoted: dict[str, Counter] = defaultdict(Counter)
+
+    def classes(self) -> tuple[set[str], set[str], set[str]]:
+        """Abbreviations, abbreviations that sentences end with, and words that go on after a quotation."""
+        abbreviations: set[str] = set()
+        finals: set[str] = set()
+        goes_on: set[str] = set()
+        for w, n in self.dotted.items():
+            # an abbreviation hardly ever stands without its dot; some of them also stand where only a sentence can end
+            if n >= LEAST and len(w) <= LONGEST and n >= DOTTED_SHARE * max(self.words[w], 1) and (w.isalpha() or any(c.isalpha() for c in w) and not w.isascii()):
+                (abbreviations if self.furniture[w] < FINAL_SHARE * n else finals).add(w)
+        for counts in self.quoted.values():
+            total = sum(counts.values())
+            goes_on.update(w for w, n in counts.items() if n >= LEAST_QUOTED and n > QUOTED_SHARE * total)
+        return abbreviations, finals, goes_on
+
+
+def follower(word: str, speech: str) -> tuple[str, str]:
+    """The script that a word after a quotation is counted under, and the word, of Chinese and Japanese its first two characters."""
+    short = word[:2] if _CJK.match(word) else word
+    if re.match("[\u3400-\u9fff]", short) and not re.search("[\u3040-\u30ff]", speech):
+        return "zh", short
+    return "ja" if _CJK.match(short) else hex(ord(short[0]) >> 7), short
+
+
+def count_words(docs: list[list[str]]) -> Counts:
+    """The counts of documents given as runs of speech."""
+    out = Counts()
     for runs in docs:
         cased = has_case(runs)
         for speech in runs:
             for w in speech.split():
-                bare = w.strip(_OPENERS + ".,!?…\"”“»«’'」』)]:;")
-                if bare and len(bare) <= 12:
-                    words[bare.lower()] += 1
-                    if "." in bare:
-                        words[bare.lower().rpartition(".")[2]] += 1
+                bare = w.strip(_OPENERS + ".,!?…\"”“»«’'」』)]:;").lower().rpartition(".")[2]
+                if bare and len(bare) <= LONGEST:
+                    out.words[bare] += 1
             for m in re.finditer(r"(\S{1,24}?)\.(?=[\s\"”“»«])", speech):
                 low = m[1].strip(_OPENERS + "\"'¿¡").lower().rpartition(".")[2]
                 if low:
-                    dotted[low] += 1
+                    out.dotted[low] += 1
                     kind, _ = _after(speech, m.end())
                     if kind in ("open", "end") or not speech[m.end() : m.end() + 1].isspace():
-                        furniture[low] += 1
+                        out.furniture[low] += 1
             if not cased:
                 for m in re.finditer("[.?!…。！？؟।،,、，](?:[\"”」』»]|“)(\\s*)(\\S+)", speech):
-                    word = m[2][:2] if _CJK.match(m[2]) else m[2]
-                    quoted["zh" if re.match("[\u3400-\u9fff]", word) and not re.search("[\u3040-\u30ff]", speech) else "ja" if _CJK.match(word) else word[0:0] + hex(ord(word[0]) >> 7)][word] += 1
-    for w, n in dotted.items():
-        # an abbreviation hardly ever stands without its dot; some of them also stand where only a sentence can end
-        if n >= 4 and len(w) <= 7 and n >= 0.9 * max(words[w], 1) and (w.isalpha() or any(c.isalpha() for c in w) and not w.isascii()):
-            (model.abbreviations if furniture[w] < 0.06 * n else model.finals).add(w)
-    for counts in quoted.values():
-        total = sum(counts.values())
-        model.goes_on.update(w for w, n in counts.items() if n >= 5 and n > 0.15 * total)
+                    script, word = follower(m[2], speech)
+                    out.quoted[script][word] += 1
+    return out
+
+
+def corpus_classes(rows: DataFrame) -> tuple[set[str], set[str], set[str]]:
+    """The closed classes from counts over all documents, by expressions of the engine and sums before the exchange.
+
+    A word that is one in ``LEAST_PART`` of all words with a dot is looked at, so that at most so many come to the driver.
+    """
+    header, markup = HEADER.pattern.replace("\\ufeff", "\ufeff"), MARKUP.pattern
+    plain = rows.select(F.regexp_replace(F.regexp_replace(F.col("text"), header, " "), markup, "").alias("text"))
+    edge = _OPENERS + ".,!?…\"”“»«’'」』)]:;"
+    inner = "".join(c for c in edge if c not in ".-–—'’")
+    token = F.explode(F.split(F.translate("text", inner + "\r\n\t", " " * (len(inner) + 3)), " +")).alias("w")
+    words = plain.select(token).select(F.substring_index(F.btrim(F.lower("w"), F.lit(edge)), ".", -1).alias("w")).where(F.length("w").between(1, LONGEST)).groupBy("w").agg(F.count("*").alias("n"))
+    opener = "[" + re.escape(_OPENERS) + "]"
+    ends = plain.select(F.explode(F.regexp_extract_all("text", F.lit(rf"\S{{1,24}}?\.(?:[\"”“»«]|\s{{1,40}}(?:{opener}|$)|(?=\s))"), F.lit(0))).alias("m"))
+    core = F.regexp_extract("m", r"^(\S*?)\.(?:\s|[\"”“»«]|$)", 1)
+    tail = F.substring_index(F.regexp_replace(F.lower(core), "^[" + re.escape(_OPENERS + "'¿¡") + "]+", ""), ".", -1)
+    furniture = ~F.col("m").endswith(".")  # what cannot go on follows
+    dotted = ends.select(tail.alias("w"), furniture.cast("int").alias("f")).where(F.length("w").between(1, LONGEST)).groupBy("w").agg(F.count("*").alias("d"), F.sum("f").alias("f"))
+    dotted = dotted.where(F.col("d") >= LEAST)
+    total = dotted.agg(F.sum("d")).first()[0] or 0
+    out = Counts()
+    for r in dotted.where(F.col("d") * LEAST_PART >= total).join(words, "w", "left").where(F.coalesce("n", F.lit(0)) * DOTTED_SHARE <= F.col("d")).collect():
+        out.words[r.w], out.dotted[r.w], out.furniture[r.w] = r.n or 0, r.d, r.f
+    said = plain.select("text", F.explode(F.regexp_extract_all("text", F.lit("[.?!…。！？؟।،,、，][\"”」』»“]\\s*(\\S+)"), F.lit(1))).alias("w"))
+    said = said.where(F.lower(F.substring("w", 1, 1)) == F.upper(F.substring("w", 1, 1))).where(F.col("w").rlike("^\\p{L}"))
+    cjk = F.col("w").rlike("^[\u3040-\u30ff\u3400-\u9fff]")
+    script = F.when(F.col("w").rlike("^[\u3400-\u9fff]") & ~F.col("text").rlike("[\u3040-\u30ff]"), "zh").when(cjk, "ja").otherwise(F.hex(F.shiftright(F.ascii("w"), 7)))
+    counted = said.select(script.alias("script"), F.when(cjk, F.substring("w", 1, 2)).otherwise(F.col("w")).alias("w")).groupBy("script", "w").agg(F.count("*").alias("n"))
+    share = counted.withColumn("of", F.sum("n").over(Window.partitionBy("script")))
+    going_on = share.where((F.col("n") >= LEAST_QUOTED) & (F.col("n") > QUOTED_SHARE * F.col("of"))).collect()  # a few for every script
+    abbreviations, finals, _ = out.classes()
+    return abbreviations, finals, {r.w for r in going_on}
+
+
+def fit(texts: list[str], rounds: int = 4, classes: tuple[set[str], set[str], set[str]] | None = None) -> Model:
+    """A model from a sample of documents: weights by gradient steps on the likelihood of labels from case; closed classes as given, else counted in the sample.
+
+    The score of a tag depends on the candidate and on the tag before it, as in decoding.
+    """
+    model = Model()
+    docs = [[r[0] for r in Document(t).runs] for t in texts]
+    model.abbreviations, model.finals, model.goes_on = count_words(docs).classes() if classes is None else classes
     sequences = []
     for runs in docs:
         true_case = has_case(runs)
@@ -404,23 +461,58 @@ def fit(texts: list[str], rounds: int = 4) -> Model:
     return model
 
 
+def script_of(text: str) -> str:
+    """'thai', 'cjk' or 'other', by most of the letters; '' without letters."""
+    if text.isascii():
+        return "other" if any(map(str.isalpha, text)) else ""
+    letters = sum(map(str.isalpha, text))
+    if not letters:
+        return ""
+    if 2 * len(_THAI.findall(text)) > letters:
+        return "thai"
+    return "cjk" if 2 * len(_CJK.findall(text)) > letters else "other"
+
+
+def stretches(speech: str, cue_ends: list[int]) -> list[tuple[int, int, str, list[int]]]:
+    """(start, end, script, ends of cues inside) of the stretches of cues of one script that a run is made of."""
+    if speech.isascii():
+        return [(0, len(speech), "other", cue_ends)]
+    out: list[list] = []
+    a = 0
+    for b in [*(e for e in cue_ends if e < len(speech)), len(speech)]:
+        script = script_of(speech[a:b])
+        if out and (not script or out[-1][2] in ("", script)):
+            out[-1][1], out[-1][2] = b, out[-1][2] or script
+            out[-1][3].append(a)
+        else:
+            out.append([a, b, script, []])
+        a = b
+    return [(a, b, script or "other", [*ends, b]) for a, b, script, ends in out]
+
+
 def sentence_ends(text: str, model: Model) -> list[int]:
     """End positions of all units of a document, as stored, in order."""
     doc = Document(text)
     ends = list(doc.units)
-    speech = [r[0] for r in doc.runs]
-    thai, cjk, letters = script_letters(speech)
-    bare = False
-    if cjk * 2 > letters > 0:
-        bare = 10 * sum(len(_FULL.findall(s)) for s in speech) < sum(len(r[3]) or 1 for r in doc.runs)
-    thai_doc = thai * 2 > letters > 0
-    cased = not (bare or thai_doc) and has_case(speech)
-    for s, at, source, cue_ends in doc.runs:
-        if bare or thai_doc:
+    parts = [(s[a:b], a, at, source, script, [e - a for e in inside]) for s, at, source, cue_ends in doc.runs for a, b, script, inside in stretches(s, cue_ends)]
+    cjk = [(len(_FULL.findall(s)), len(cues_) or 1) for s, _, _, _, script, cues_ in parts if script == "cjk"]
+    whole = 10 * sum(m for m, _ in cjk), sum(c for _, c in cjk)
+    case: bool | None = None
+    for s, start, at, source, script, cue_ends in parts:
+        if script == "cjk":
+            marks, cues_ = (10 * len(_FULL.findall(s)), len(cue_ends)) if len(cue_ends) >= MARKED_CUES else whole
+        if script == "thai" or script == "cjk" and marks < cues_:
             places = [(e, _layout("cue")) for e in cue_ends]
-            if thai_doc:
+            if script == "thai":
                 places = sorted(places + [(m.start(), _layout("blank")) for m in _THAI_BLANK.finditer(s)])
         else:
+            upper, lower = sum(map(str.isupper, s)), sum(map(str.islower, s))
+            if upper + lower >= CASED_LETTERS:
+                cased = lower > upper
+            else:
+                if case is None:
+                    case = has_case([p[0] for p in parts])
+                cased = case
             places = [(e, k) for e, k, _ in candidates(s, model, cased)]
         tags = model.decode([k for _, k in places])
         stops = [e for (e, _), t in zip(places, tags) if t]
@@ -428,22 +520,22 @@ def sentence_ends(text: str, model: Model) -> list[int]:
         for e in stops:
             e = len(s[:e].rstrip())
             if e and s[e - 1] != "\x00":
-                i = bisect_right(at, e - 1) - 1
-                ends.append(source[i] + e - at[i])
+                i = bisect_right(at, start + e - 1) - 1
+                ends.append(source[i] + start + e - at[i])
     return sorted({doc.stored(e) for e in ends})
 
 
 def sentences(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 3) -> DataFrame:
     """doc_id, end_pos: one row per sentence, sound description, song line and advert cue of every document.
 
-    ``end_pos`` counts code points of the text as stored. The model is fitted on at most ``sample_docs`` documents drawn at random;
-    all documents are tagged. A null or empty text gives no rows; rows with a null doc_id take no part; repeated rows give their sentences
+    ``end_pos`` counts code points of the text as stored. Words are counted over all documents; weights are fitted on at most ``sample_docs`` documents drawn at
+    random; all documents are tagged. A null or empty text gives no rows; rows with a null doc_id take no part; repeated rows give their sentences
     once per row (make them distinct where they may occur); an empty table gives an empty result; other columns are ignored.
     """
     rows = documents.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''")
     n = max(1, documents.count())
     sample = [r.text for r in rows.select("text").sample(min(1.0, 1.2 * sample_docs / n), seed).limit(sample_docs).collect()]
-    model = fit(sample)
+    model = fit(sample, classes=corpus_classes(rows))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

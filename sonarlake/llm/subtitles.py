@@ -72,25 +72,27 @@ _EOL = r"(?:\r\n|\r|\n)"
 #: A cue's number line (if any) and timing line.
 HEADER = re.compile(rf"(?:\ufeff?[ \t]*\d+[ \t]*{_EOL}(?:[ \t]*{_EOL})?)?\ufeff?[ \t]*\d+:\d\d:\d\d[,.]\d+[ \t]*-->[^\r\n]*{_EOL}?")
 MARKUP = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}")
-#: What gives a cue away as an advert or a credit: host names, or set phrases of those who make subtitle files.
-ADVERT = re.compile(
-    r"(?i)\bwww\.|https?:|\w[\w-]*\.(?:example|invalid|com|org|net)\b|^(?:subtitles by|sync and corrections|captioned by|support us\b|advertise your|rate this file)|^-= .* =-"
-)
-_FOLDED_ADVERT = str.maketrans({"1": "i", "l": "i", "|": "i", "0": "o"})
+_HOST = r"\bwww\.|https?:|\w[\w-]*\.(?:example|invalid|com|org|net)\b"
+#: What gives a cue away as an advert or a credit: a host name, or a frame of those who make subtitle files.
+ADVERT = re.compile(rf"(?i){_HOST}|^sync and corrections:|^-= .* =-")
 BRACKETS = {"[": "]", "(": ")", "（": "）", "【": "】"}
 
 
-def is_advert(core: str) -> bool:
-    """Whether the text of a cue is an advert, also one in which letters were misread."""
-    return len(core) < 200 and bool(ADVERT.search(core) or _MISREAD.match(core.lower().translate(_FOLDED_ADVERT).replace("rn", "m").replace("vv", "w").replace("ii", "h").replace("c", "e")))
+#: Letters that recognition takes for each other, as the search for leaks has them.
+_LOOKS_LIKE = str.maketrans({"1": "i", "l": "i", "|": "i", "0": "o"})
+
+
+def _as_misread(text: str) -> str:
+    return text.lower().translate(_LOOKS_LIKE).replace("rn", "m").replace("vv", "w").replace("ii", "h").replace("c", "e")
 
 
-_MISREAD = re.compile(
-    "|".join(
-        x.translate(_FOLDED_ADVERT).replace("rn", "m").replace("vv", "w").replace("ii", "h").replace("c", "e")
-        for x in ("subtitles by ", "sync and corrections", "♪ captioned by", "captioned by", "support us", "advertise your", "rate this file")
-    )
-)
+_MISREAD = re.compile(r"\bwww\.|https?:|\w\.(?:" + "|".join(map(_as_misread, ("example", "invalid", "com", "org", "net"))) + r")\b|^" + _as_misread("sync and corrections:"))
+_HOST_DOT = re.compile(r"\w\.\w|:")
+
+
+def is_advert(core: str) -> bool:
+    """Whether the text of a cue is an advert or a credit, also one in which letters were misread: it names a host, or has the frame of a credit."""
+    return bool(ADVERT.search(core)) or bool(_HOST_DOT.search(core) and _MISREAD.search(_as_misread(core)))
 
 
 def cues(text: str) -> list[tuple[int, int]]:

@@ -108,3 +108,36 @@ def test_an_opening_does_not_decide_for_the_whole_text(model):
     assert not has_case(["a few words " * 40 + "AND THEN ALL IN CAPITALS " * 90])
     text = "1\n00:00:01,000 --> 00:00:02,000\n" + "latin letters " * 30 + "ก" * 900 + " " + "ข" * 900
     assert text.index(" ข") in sentence_ends(text, model)
+
+
+def test_every_stretch_is_judged_by_itself(model):
+    thai = [cue(i + 40, "จากในหน้าเรือ แสงให้น้ำ") for i in range(34)]
+    japanese = [cue(i + 40, "し朝朝見雨しなる影") for i in range(34)]
+    for english in ([cue(i + 1, "- We went to the market there.") for i in range(25)], [cue(i + 1, "We went to the market there.") for i in range(25)]):
+        alone = len(sentence_ends("".join(english), model))
+        assert alone == 25
+        assert len(sentence_ends("".join(english + thai), model)) == 25 + 68
+        assert len(sentence_ends("".join(english + japanese), model)) == 25 + 34
+        assert len(sentence_ends("".join(thai + english + japanese), model)) == 68 + 25 + 34
+
+
+def test_capitals_in_a_part(model):
+    t = "".join(cue(i + 1, "THEN WE SAW DR. HOLBRI AT THE", "MARKET. IT WAS LATE.") for i in range(9)) + "".join(cue(i + 20, "Then we saw dr. holbri at the market. It was late.") for i in range(9))
+    assert len(sentence_ends(t, model)) == 36
+
+
+def test_words_are_counted_over_all_documents(spark, texts):
+    from sonarlake.llm.sentences import corpus_classes, count_words
+
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    abbreviations, finals, goes_on = corpus_classes(rows)
+    known = count_words([[r[0] for r in Document(t).runs] for t in texts]).classes()
+    assert len(abbreviations ^ known[0]) <= 0.15 * len(known[0]) and len(finals ^ known[1]) <= 2 and goes_on == known[2]
+    assert corpus_classes(rows.limit(0)) == (set(), set(), set())
+
+
+@pytest.mark.parametrize("text, want", [("Support us in this war. Please help. We need you.", False), ("Subtitles by xyz.example", True), ("Rate this flle at fengra.invaIid/r?id=25. Thanks!", True), ("Sync and corrections: team nelsen", True), ("We talked for a long time. " * 20 + "See www.x-film.invalid", True)])
+def test_adverts_name_a_host(text, want):
+    from sonarlake.llm.subtitles import is_advert
+
+    assert is_advert(text) is want
