@@ -50,12 +50,12 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def range_sorted(df: DataFrame, by: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Globally sorted partitions, cut, with their number as column ``pid``.
+    """Globally sorted partitions, cut, with their number as column ``pid`` and the place of every row: ``at`` counts up by one within a partition.
 
     A key that holds a third of all rows is spread over many partitions, as ``by`` goes on past the key.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("pid", F.spark_partition_id()))
+    return cut(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumns({"pid": F.spark_partition_id(), "at": F.monotonically_increasing_id()}))
 
 
 def whole_groups(batches: Iterable[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:

@@ -35,6 +35,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return implausible_readings(table(spark, d, "metric_series"), table(spark, d, "metric_catalog")).select("reading_id").distinct()
 
 
+def p5_certain(spark: SparkSession, d: str) -> DataFrame:
+    """Impossible and stuck readings, which need no estimate."""
+    found = implausible_readings(table(spark, d, "metric_series"), table(spark, d, "metric_catalog"))
+    return found.where("kind <> 'spike'").select("reading_id", "kind").distinct()
+
+
 def p5_by_kind(spark: SparkSession, d: str) -> DataFrame:
     """How many readings of each metric are implausible, and why."""
     found = implausible_readings(table(spark, d, "metric_series"), table(spark, d, "metric_catalog"))
@@ -59,9 +65,18 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_grid, p4_found, p5_found, p5_by_kind, p6_found, p6_table)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_grid, p4_found, p5_found, p5_certain, p5_by_kind, p6_found, p6_table)}
 
 SQL = {
+    "p5_certain": """
+WITH limits AS (SELECT metric, min(valid_min) AS low, max(valid_max) AS high FROM metric_catalog WHERE monitored GROUP BY metric),
+r AS (SELECT DISTINCT ON (reading_id) reading_id, recording_id, metric, timestamp_s AS ts, value, low, high FROM metric_series JOIN limits USING (metric)
+  WHERE value IS NOT NULL AND NOT isnan(value) AND timestamp_s IS NOT NULL AND reading_id IS NOT NULL AND recording_id IS NOT NULL),
+d AS (SELECT *, CASE WHEN value = lag(value) OVER w THEN 0 ELSE 1 END AS moved FROM r WINDOW w AS (PARTITION BY recording_id, metric ORDER BY ts, reading_id)),
+u AS (SELECT *, sum(moved) OVER (PARTITION BY recording_id, metric ORDER BY ts, reading_id ROWS UNBOUNDED PRECEDING) AS run FROM d),
+c AS (SELECT *, count(*) OVER (PARTITION BY recording_id, metric, run) AS n FROM u)
+SELECT reading_id, CASE WHEN coalesce(value < low, false) OR coalesce(value > high, false) THEN 'impossible' ELSE 'stuck' END AS kind FROM c
+WHERE n >= 10 OR coalesce(value < low, false) OR coalesce(value > high, false)""",
     "p3_found": """
 WITH steps AS (SELECT recording_id, min(grid_step_s) AS step FROM recordings WHERE grid_step_s > 0 GROUP BY recording_id),
 long AS (

@@ -68,3 +68,37 @@ def test_long_series_in_segments_gives_the_same(spark, monkeypatch, n):
     assert parts.where("not margin").count() == n
     cut = {(r.reading_id, r.kind) for r in implausible_readings(df, cat).collect()}
     assert cut == whole and len(whole) >= 17
+
+
+def test_one_early_reading_still_cuts(spark, monkeypatch):
+    monkeypatch.setattr(spikes, "SEGMENT_ROWS", 800)
+    data = [(x[0] + 1, x[1], x[2], 1e9 + x[3], *x[4:]) for x in rows(5000, seed=4)] + [(0, "r", "m", 0.0, 0.0, 0, "")]
+    parts = segments(spark.createDataFrame(data, COLS).select("reading_id", "recording_id", "metric", F.col("timestamp_s").alias("ts"), "value"))
+    sizes = parts.groupBy("seg").count().toPandas()["count"]
+    assert len(sizes) >= 6 and sizes.max() <= 1000 and parts.where("not margin").count() == 5001
+
+
+def test_scatter_is_that_of_the_whole_series(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    y = np.r_[r.normal(0, 0.2, 2000), r.normal(0, 3, 4000)]
+    for i in range(50, 6000, 100):
+        y[i] += 20 * r.choice([-1, 1])
+    data = [(i, "r", "m", float(i), float(v), 0, "") for i, v in enumerate(y)] + [(i + 7000, "s", "m", float(i), float(v), 0, "") for i, v in enumerate(y[:700])]
+    df, cat = spark.createDataFrame(data, COLS), spark.createDataFrame([("m", None, None, True)], CAT)
+    whole = {(x.reading_id, x.kind) for x in implausible_readings(df, cat).collect()}
+    monkeypatch.setattr(spikes, "SEGMENT_ROWS", 800)
+    assert {(x.reading_id, x.kind) for x in implausible_readings(df, cat).collect()} == whole and whole
+
+
+def test_counts_of_parts_add_up():
+    r = np.random.default_rng(3)
+    y = np.cumsum(r.normal(0, 0.3, 900)) + r.normal(0, 2, 900)
+    whole = spikes.kalman_scatter(y)
+    parts: list[list] = [[], []]
+    for a in (0, 300, 600):
+        low = max(0, a - 10)
+        own = np.arange(low, a + 300) >= a
+        for lag, cells in enumerate(spikes.differences(y[low : a + 300], own)):
+            parts[lag].append(cells)
+    assert spikes.counted_scatter(*(np.unique(np.concatenate(p), return_counts=True) for p in parts)) == whole
+    assert abs(whole[0] - 2) < 0.4
