@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarlake.operators.drift import changes, unify
+from sonarlake.operators.drift import changes, field, unify, version_changes
 from sonarlake.operators.grid import regular_grid
 from sonarlake.operators.intervals import moment_periods
 from sonarlake.operators.spikes import implausible_readings
@@ -55,7 +55,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
     """All documents as one table, with the fields that the problem names wherever they stand."""
     rows, _ = unify(table(spark, d, "result_docs"))
-    pick = lambda *paths: F.coalesce(*[F.col("fields").getItem(p) for p in paths])
+    pick = lambda *paths: F.coalesce(*[field(p) for p in paths])
     return rows.select(
         "result_id", "producer", "written_at", "readable",
         pick("schema_version", "metadata.schema_version").alias("schema_version"),
@@ -65,9 +65,25 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_grid, p4_found, p5_found, p5_certain, p5_by_kind, p6_found, p6_table)}
+def p6_readable(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document, whether it is readable and how many fields of it are in the unified table: none is lost."""
+    rows, _ = unify(table(spark, d, "result_docs"))
+    return rows.select("result_id", "producer", "readable", F.when(F.col("readable"), F.size("fields")).cast("long").alias("n_fields"))
+
+
+def p6_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Changes from version to version, with renamings matched by the profiles of all values."""
+    return version_changes(table(spark, d, "result_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_grid, p4_found, p5_found, p5_certain, p5_by_kind, p6_found, p6_table, p6_readable, p6_versions)}
 
 SQL = {
+    "p6_readable": """
+WITH docs AS (SELECT DISTINCT ON (result_id) result_id, producer, payload, payload IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT' AS readable FROM result_docs),
+leaves AS (SELECT d.result_id, count(*) AS n FROM (SELECT * FROM docs WHERE readable) d, json_tree(d.payload) t
+  WHERE t.fullkey <> '$' AND t.fullkey NOT LIKE '%[%' AND t.path <> '$.metrics' AND t.path NOT LIKE '$.metrics.%' AND (t.type <> 'OBJECT' OR t.fullkey = '$.metrics') GROUP BY d.result_id)
+SELECT result_id, producer, coalesce(readable, false) AS readable, CASE WHEN readable THEN coalesce(n, 0) END AS n_fields FROM docs LEFT JOIN leaves USING (result_id)""",
     "p5_certain": """
 WITH limits AS (SELECT metric, min(valid_min) AS low, max(valid_max) AS high FROM metric_catalog WHERE monitored GROUP BY metric),
 r AS (SELECT DISTINCT ON (reading_id) reading_id, recording_id, metric, timestamp_s AS ts, value, low, high FROM metric_series JOIN limits USING (metric)
