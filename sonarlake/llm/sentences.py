@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonarlake.llm.subtitles import BRACKETS, HEADER, MARKUP, cues, is_advert, repair_with_ends
+from sonarlake.llm.subtitles import BRACKETS, MARKUP, cues, is_advert, repair_with_ends
+from sonarlake.plans.lineage import keep
 
 LAYOUT_WEIGHT = 50.0  # of the ends of cues, and of Thai blanks, in scripts without marks
 SAMPLE_DOCS = 1500  # documents that the weights are fitted on at most
@@ -382,33 +383,38 @@ def count_words(docs: list[list[str]]) -> Counts:
 
 
 def corpus_classes(rows: DataFrame) -> tuple[set[str], set[str], set[str]]:
-    """The closed classes from counts over all documents, by expressions of the engine and sums before the exchange.
+    """The closed classes from counts over all documents, by expressions of the engine in one pass, summed before the exchange.
 
     A word that is one in ``LEAST_PART`` of all words with a dot is looked at, so that at most so many come to the driver.
     """
-    header, markup = HEADER.pattern.replace("\\ufeff", "\ufeff"), MARKUP.pattern
-    plain = rows.select(F.regexp_replace(F.regexp_replace(F.col("text"), header, " "), markup, "").alias("text"))
-    edge = _OPENERS + ".,!?…\"”“»«’'」』)]:;"
+    opener, furniture, quoted = "[" + re.escape(_OPENERS) + "]", "\x01", "\x02"
+    cue = r"(?:\d+[ \t]*[\r\n]+[ \t]*\d+:\d\d:\d\d[^\r\n]*[\r\n]+[ \t]*)?"  # the number and times of the cue that begins there
+    plain = rows.select(F.regexp_replace("text", MARKUP.pattern, "").alias("text"))
+    # dots after which nothing can go on are marked
+    marked = F.regexp_replace("text", rf"\.(?=[\"”“»«]|\s{{1,40}}{cue}(?:{opener}|$))", "." + furniture)
+    edge = _OPENERS + ".,!?…\"”“»«’'」』)]:;¿¡"
     inner = "".join(c for c in edge if c not in ".-–—'’")
-    token = F.explode(F.split(F.translate("text", inner + "\r\n\t", " " * (len(inner) + 3)), " +")).alias("w")
-    words = plain.select(token).select(F.substring_index(F.btrim(F.lower("w"), F.lit(edge)), ".", -1).alias("w")).where(F.length("w").between(1, LONGEST)).groupBy("w").agg(F.count("*").alias("n"))
-    opener = "[" + re.escape(_OPENERS) + "]"
-    ends = plain.select(F.explode(F.regexp_extract_all("text", F.lit(rf"\S{{1,24}}?\.(?:[\"”“»«]|\s{{1,40}}(?:{opener}|$)|(?=\s))"), F.lit(0))).alias("m"))
-    core = F.regexp_extract("m", r"^(\S*?)\.(?:\s|[\"”“»«]|$)", 1)
-    tail = F.substring_index(F.regexp_replace(F.lower(core), "^[" + re.escape(_OPENERS + "'¿¡") + "]+", ""), ".", -1)
-    furniture = ~F.col("m").endswith(".")  # what cannot go on follows
-    dotted = ends.select(tail.alias("w"), furniture.cast("int").alias("f")).where(F.length("w").between(1, LONGEST)).groupBy("w").agg(F.count("*").alias("d"), F.sum("f").alias("f"))
-    dotted = dotted.where(F.col("d") >= LEAST)
-    total = dotted.agg(F.sum("d")).first()[0] or 0
+    tokens = F.split(F.translate(F.lower(marked), inner + "\r\n\t", " " * (len(inner) + 3)), " +")
+    followers = F.regexp_extract_all("text", F.lit(rf"[.?!…。！？؟।،,、，][\"”」』»“]\s*{cue}([^\s\x00-\x40]\S*)"), F.lit(1))
+    script = F.when(F.col("text").rlike("[\u3040-\u30ff]"), quoted + "j").otherwise(quoted + "z")
+    token = plain.select(F.explode(F.concat(tokens, F.transform(followers, lambda w: F.concat(script, w)))).alias("t")).where(F.length("t").between(1, 2 * LONGEST) | F.col("t").startswith(quoted))
+    base = F.rtrim(F.col("t"), F.lit(furniture))
+    dotted = F.col("t").contains(".") & base.endswith(".") & ~base.endswith("..")
+    # most words hold no dot and are counted as they stand; marks at their edges are blanks already
+    word = F.when(F.col("t").contains("."), F.substring_index(F.btrim(base, F.lit(edge)), ".", -1)).otherwise(F.col("t"))
+    parts = token.select(word.alias("w"), dotted.cast("int").alias("d"), (dotted & F.col("t").endswith(furniture)).cast("int").alias("f")).where((F.length("w").between(1, LONGEST)) | F.col("w").startswith(quoted))
+    counts = keep(parts.groupBy("w").agg(F.count("*").alias("n"), F.sum("d").alias("d"), F.sum("f").alias("f")).where((F.col("d") >= LEAST) | F.col("w").startswith(quoted)))
+    plainly = counts.where(~F.col("w").startswith(quoted))
+    total = plainly.agg(F.sum("d")).first()[0] or 0
     out = Counts()
-    for r in dotted.where(F.col("d") * LEAST_PART >= total).join(words, "w", "left").where(F.coalesce("n", F.lit(0)) * DOTTED_SHARE <= F.col("d")).collect():
-        out.words[r.w], out.dotted[r.w], out.furniture[r.w] = r.n or 0, r.d, r.f
-    said = plain.select("text", F.explode(F.regexp_extract_all("text", F.lit("[.?!…。！？؟।،,、，][\"”」』»“]\\s*(\\S+)"), F.lit(1))).alias("w"))
-    said = said.where(F.lower(F.substring("w", 1, 1)) == F.upper(F.substring("w", 1, 1))).where(F.col("w").rlike("^\\p{L}"))
-    cjk = F.col("w").rlike("^[\u3040-\u30ff\u3400-\u9fff]")
-    script = F.when(F.col("w").rlike("^[\u3400-\u9fff]") & ~F.col("text").rlike("[\u3040-\u30ff]"), "zh").when(cjk, "ja").otherwise(F.hex(F.shiftright(F.ascii("w"), 7)))
-    counted = said.select(script.alias("script"), F.when(cjk, F.substring("w", 1, 2)).otherwise(F.col("w")).alias("w")).groupBy("script", "w").agg(F.count("*").alias("n"))
-    share = counted.withColumn("of", F.sum("n").over(Window.partitionBy("script")))
+    for r in plainly.where((F.col("d") * LEAST_PART >= total) & (F.col("n") * DOTTED_SHARE <= F.col("d"))).collect():
+        out.words[r.w], out.dotted[r.w], out.furniture[r.w] = r.n, r.d, r.f
+    said = counts.where(F.col("w").startswith(quoted)).select(F.substring("w", 2, 1).alias("kana"), F.expr("substring(w, 3)").alias("w"), "n")
+    said = said.where((F.lower(F.substring("w", 1, 1)) == F.upper(F.substring("w", 1, 1))) & F.col("w").rlike("^\\p{L}"))
+    han, cjk = F.col("w").rlike("^[\u3400-\u9fff]"), F.col("w").rlike("^[\u3040-\u30ff\u3400-\u9fff]")
+    script = F.when(han & (F.col("kana") == "z"), "zh").when(cjk, "ja").otherwise(F.hex(F.shiftright(F.ascii("w"), 7)))
+    short = said.select(script.alias("script"), F.when(cjk, F.substring("w", 1, 2)).otherwise(F.col("w")).alias("w"), "n").groupBy("script", "w").agg(F.sum("n").alias("n"))
+    share = short.withColumn("of", F.sum("n").over(Window.partitionBy("script")))
     going_on = share.where((F.col("n") >= LEAST_QUOTED) & (F.col("n") > QUOTED_SHARE * F.col("of"))).collect()  # a few for every script
     abbreviations, finals, _ = out.classes()
     return abbreviations, finals, {r.w for r in going_on}
