@@ -71,18 +71,24 @@ def polyphase_taps(up: int, down: int) -> np.ndarray:
 
 
 def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
-    """Rational resampling to ceil(n target / source) samples."""
+    """Rational resampling to ceil(n target / source) samples: each is a sum over the few taps that fall on samples."""
     g = gcd(source, target)
     up, down = target // g, source // g
     if up == down:
         return x.astype(float)
     h = polyphase_taps(up, down)
     half = (len(h) - 1) // 2
-    stuffed = np.zeros(len(x) * up)
-    stuffed[::up] = x
-    n = 1 << (len(stuffed) + len(h) - 1).bit_length()
-    full = np.fft.irfft(np.fft.rfft(stuffed, n) * np.fft.rfft(h, n), n)
-    return full[half : half + len(stuffed)][::down][: -(-len(x) * up // down)]
+    at = np.arange(-(-len(x) * up // down)) * down  # places on the fine grid
+    first = -((half - at) // up)  # the first sample that a tap falls on
+    reach = 2 * half // up + 1
+    padded = np.concatenate([np.zeros(reach + 1), np.asarray(x, float), np.zeros(reach + 1)])
+    taps = np.concatenate([h, np.zeros(up * (reach + 1))])
+    out = np.zeros(len(at))
+    for k in range(reach):
+        i = first + k
+        tap = at - i * up + half
+        out += padded[np.clip(i + reach + 1, 0, len(padded) - 1)] * np.where(tap >= 0, taps[np.maximum(tap, 0)], 0.0)
+    return out
 
 
 def butter_bandpass(low: float, high: float, order: int = 4) -> tuple[np.ndarray, np.ndarray]:

@@ -74,12 +74,12 @@ def blocks(signal: DataFrame, columns: list[str], before: int, after: int, block
     return out.select("recording_id", "block", "length", F.col("s")[0]["n"].alias("first"), *[F.col("s")[c].alias(c) for c in columns])
 
 
-def frames_of_blocks(packed: DataFrame, columns: list[str], size: int, hop: int, compute: Callable[[int, list[np.ndarray]], dict[str, np.ndarray]], schema: str, tail: bool, back: int = 0, block: int = BLOCK) -> DataFrame:
+def frames_of_blocks(packed: DataFrame, columns: list[str], size: int, hop: int, compute: Callable[[int, list[np.ndarray]], dict[str, np.ndarray]], schema: str, tail: bool, back: int = 0, block: int = BLOCK, short: bool = False) -> DataFrame:
     """Runs ``compute(rows of frames per column)`` over the frames that start in each block: recording_id, frame and what it returns.
 
     ``packed`` must show each block ``size`` places after it. With ``back`` the rows of the frames that start so much earlier are passed too
     (a frame that has none gets itself), for which ``packed`` must show as many places before the block. With ``tail`` a last frame that ends with the signal is added, and a signal shorter than a
-    frame is padded with zeros; without it only frames that fit are taken.
+    frame is padded with zeros; without it only frames that fit are taken, with ``short`` also of a signal shorter than a frame the padded one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,7 @@ def frames_of_blocks(packed: DataFrame, columns: list[str], size: int, hop: int,
                 lo, hi = number * block, min((number + 1) * block, length)
                 starts = np.arange(-(-lo // hop) * hop, min(hi, length - size + 1), hop)
                 frame = starts // hop
-                if tail and length < size and number == 0:
+                if (tail or short) and length < size and number == 0:
                     xs = [np.r_[x, np.zeros(size - length)] for x in xs]
                     starts, frame = np.array([0]), np.array([0])
                 elif tail and length > size and (length - size) % hop and lo <= length - size < hi:

@@ -5,40 +5,84 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
+from math import ceil, gcd
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarlake.functions import dsp
 from sonarlake.functions.levels import FLOOR, db, dot, leq, power_db, summary_columns, total, weighting_db
-from sonarlake.operators.frames import blocks, framed, frames_of_blocks, peaks_in_blocks, running_total, with_previous
+from sonarlake.operators.frames import BLOCK, blocks, framed, frames_of_blocks, peaks_in_blocks, running_total, with_previous
+from sonarlake.plans.lineage import keep
 from sonarlake.sources.signals import Settings, wide
 
 REC = "recording_id"
+_BY = "\x1f"  # between a recording and a channel
 
 
 @dataclass
 class Source:
-    """Signals and settings that metrics are computed from. ``signal(channels)`` gives recording_id, channel, n, x."""
+    """Signals and settings that metrics are computed from.
+
+    ``signal(k)`` gives recording_id, channel, n, x: of the first k channels, for 1 of their mean as one channel, for 0 of all channels. ``tone`` is the recorded
+    calibration tone, if there is one; ``file_name`` stands for the recording_id where times are read from names. ``packer(which, before, after)`` gives blocks
+    of samples as ``packed`` does, where a decoder makes them itself.
+    """
 
     signal: Callable[[int], DataFrame]
     impulse: Callable[[], DataFrame]
     settings: Settings = field(default_factory=Settings)
-    file_name: str = "site_20240301_213000.wav"
+    file_name: str | None = None
+    tone: Callable[[], DataFrame] | None = None
+    packer: Callable[[str, int, int], DataFrame] | None = None
+    lateral_channels: int = 2  # channels that lateral energy is told from; 0 for all
 
     @cached_property
     def mono(self) -> DataFrame:
         return self.signal(1)
 
+    @cached_property
+    def every(self) -> DataFrame:
+        return self.signal(0)
+
+    @cached_property
+    def two(self) -> DataFrame:
+        """recording_id, n, x0, x1: the first two channels; of a recording with one channel that channel twice."""
+        s = self.signal(2)
+        w = s.groupBy(REC, "n").agg(*[F.max(F.when(F.col("channel") == c, F.col("x"))).alias(f"x{c}") for c in (0, 1)])
+        top = s.groupBy(REC).agg(F.max("channel").alias("top"))  # a row per recording
+        return w.join(top, REC).select(REC, "n", "x0", F.when(F.col("top") == 0, F.col("x0")).otherwise(F.col("x1")).alias("x1")).dropna(subset=["x0", "x1"])
+
+    def packed(self, which: str, before: int, after: int) -> DataFrame:
+        """Blocks of the 'mono' signal, or of 'every' channel (recording_id then ends with the channel), shown some samples of their neighbours."""
+        if self.packer:
+            return self.packer(which, before, after)
+        return blocks(self.mono if which == "mono" else self.every.withColumn(REC, F.concat_ws(_BY, REC, "channel")), ["x"], before, after)
+
+    def of_blocks(self, which: str, size: int, hop: int, compute: Callable, schema: str, tail: bool, back: int = 0, short: bool = False) -> DataFrame:
+        """Frames of the blocks; of 'every' channel with the channel's recording as recording_id, a row per channel."""
+        found = frames_of_blocks(self.packed(which, back, size), ["x"], size, hop, compute, schema, tail, back, short=short)
+        return found.withColumn(REC, _recording()) if which == "every" else found
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        """recording_id, length in samples, channels."""
+        per = self.packed("every", 0, 0).groupBy(REC).agg(F.max("length").alias("length"))
+        return per.groupBy(_recording().alias(REC)).agg(F.max("length").alias("length"), F.count("*").alias("channels"))
+
     @cached_property
     def levels(self) -> DataFrame:
-        """Per frame: power, peak, mean magnitude, and the mean of the channels' effective values."""
+        """Per frame: power, peak and mean magnitude over all channels, and the mean of the channels' effective values."""
         s = self.settings
-        per = framed(self.mono, s.frame, s.hop).groupBy(REC, "frame", "channel").agg(
-            (F.sum(F.col("x") * F.col("x")) / s.frame).alias("p"), F.max(F.abs("x")).alias("peak"), (F.sum(F.abs("x")) / s.frame).alias("a")
-        )
+
+        def compute(rows: list[np.ndarray]) -> dict[str, np.ndarray]:
+            x = rows[0]
+            return {"p": np.einsum("ij,ij->i", x, x) / s.frame, "peak": np.abs(x).max(1), "a": np.abs(x).sum(1) / s.frame}
+
+        per = self.of_blocks("every", s.frame, s.hop, compute, "p double, peak double, a double", True)
         return per.groupBy(REC, "frame").agg(F.avg("p").alias("power"), F.max("peak").alias("peak"), F.avg("a").alias("mean_abs"), F.avg(F.sqrt("p")).alias("rms_mean"))
 
     @cached_property
@@ -52,8 +96,7 @@ class Source:
             d = mag - old
             return {"mag": mag, "flux": np.maximum(d, 0).sum(1), "flux2": np.sqrt((d * d).sum(1)), "change": np.abs(d).sum(1)}
 
-        packed = blocks(self.mono, ["x"], s.fft_hop, s.fft)
-        return frames_of_blocks(packed, ["x"], s.fft, s.fft_hop, compute, "mag array<double>, flux double, flux2 double, change double", False, s.fft_hop)
+        return self.of_blocks("mono", s.fft, s.fft_hop, compute, "mag array<double>, flux double, flux2 double, change double", False, s.fft_hop, True)
 
     @property
     def freqs(self) -> Column:
@@ -76,9 +119,13 @@ class Source:
         )
         return base.select(
             REC, "frame", "centroid", F.sqrt(spread / den).alias("bandwidth"), (F.exp(total(F.col("mag"), F.ln) / n) / (total(F.col("mag")) / n + FLOOR)).alias("flatness"),
-            (reach["at"] * step).alias("rolloff"), F.col("flux").alias("novelty"), "flux2", "change", "mag",
+            (reach["at"] * step).alias("rolloff"), F.col("flux").alias("novelty"), "flux2", "change", total(F.col("mag")).alias("whole"), self.band_sum(2000.0, 8000.0).alias("bio"),
         )
 
+    def band_sum(self, low: float, high: float) -> Column:
+        """Sum of magnitudes between two frequencies."""
+        return total(F.zip_with("mag", self.freqs, lambda m, f: F.when((f >= low) & (f <= high), m).otherwise(0.0)))
+
     @cached_property
     def bins(self) -> DataFrame:
         """Long spectra: frame, bin, f, p (squared magnitude)."""
@@ -117,27 +164,43 @@ class Source:
             cross = (np.fft.rfft(a, axis=1) * np.conj(np.fft.rfft(b, axis=1))).sum(1)
             return {"iacc": dsp.strongest_correlation(a, b, int(0.001 * s.rate)), "ipd": np.angle(cross), "itd": dsp.delay_by_phase(a, b, s.rate)}
 
-        packed = blocks(wide(self.signal(2), 2), ["x0", "x1"], 0, s.fft)
+        packed = blocks(self.two, ["x0", "x1"], 0, s.fft)
         return frames_of_blocks(packed, ["x0", "x1"], s.fft, s.fft_hop, compute, "iacc double, ipd double, itd double", True)
 
     @cached_property
     def pairs(self) -> DataFrame:
-        """Per frame of the first two channels: sums of squares and products."""
+        """Per frame of the first two channels: means of values, squares and products."""
         s = self.settings
-        f = framed(wide(self.signal(2), 2), s.frame, s.hop)
-        return f.groupBy(REC, "frame").agg(*[(F.sum(e) / s.frame).alias(n) for n, e in {"a": F.col("x0"), "b": F.col("x1"), "aa": F.col("x0") ** 2, "bb": F.col("x1") ** 2, "ab": F.col("x0") * F.col("x1")}.items()])
+
+        def compute(rows: list[np.ndarray]) -> dict[str, np.ndarray]:
+            return products(rows, s.frame)
+
+        return frames_of_blocks(blocks(self.two, ["x0", "x1"], 0, s.frame), ["x0", "x1"], s.frame, s.hop, compute, "a double, b double, aa double, bb double, ab double", True)
+
+    @cached_property
+    def neighbours(self) -> DataFrame:
+        """Per frame and pair of adjacent channels: means of values, squares and products."""
+        s = self.settings
+        left = self.every.select(F.concat_ws(_BY, REC, "channel").alias(REC), "n", F.col("x").alias("x0"))
+        right = self.every.where("channel > 0").select(F.concat_ws(_BY, REC, F.col("channel") - 1).alias(REC), "n", F.col("x").alias("x1"))
+
+        def compute(rows: list[np.ndarray]) -> dict[str, np.ndarray]:
+            return products(rows, s.frame)
+
+        both = blocks(left.join(right, [REC, "n"]), ["x0", "x1"], 0, s.frame)
+        return frames_of_blocks(both, ["x0", "x1"], s.frame, s.hop, compute, "a double, b double, aa double, bb double, ab double", True).withColumn(REC, _recording())
 
     def weighted(self, curve: str) -> DataFrame:
-        """Per short frame: level under a frequency weighting, by Parseval's identity over the unwindowed spectrum."""
+        """Per short frame: level of the mean of the channels' effective values under a frequency weighting, by Parseval's identity over the unwindowed spectrum."""
         s = self.settings
         n = s.fft
 
         def compute(rows: list[np.ndarray]) -> dict[str, np.ndarray]:
             return {"e": np.abs(np.fft.rfft(rows[0], axis=1)) ** 2}
 
-        spec = frames_of_blocks(blocks(self.mono, ["x"], 0, n), ["x"], n, s.fft_hop, compute, "e array<double>", True)
+        spec = self.of_blocks("every", n, s.fft_hop, compute, "e array<double>", True)
         gains = F.array(*[(1.0 if k in (0, n // 2) else 2.0) * F.pow(F.lit(10.0), weighting_db(F.lit(k * s.rate / n), curve) / 10) for k in range(n // 2 + 1)])
-        return spec.select(REC, "frame", (db(F.sqrt(dot(F.col("e"), gains)) / n) + s.spl_offset).alias("v"))
+        return spec.groupBy(REC, "frame").agg(F.avg(F.sqrt(dot(F.col("e"), gains)) / n).alias("r")).select(REC, "frame", (db(F.col("r")) + s.spl_offset).alias("v"))
 
     @cached_property
     def tail(self) -> DataFrame:
@@ -167,39 +230,60 @@ class Source:
         within = lambda sec: F.sum(F.when(F.col("n") < max(1, round(sec * s.rate)), F.col("e")).otherwise(0.0))
         return self.tail.groupBy(REC).agg(F.sum("e").alias("e"), within(0.05).alias("e50"), within(0.08).alias("e80"), F.sum(F.col("e") * F.col("n") / s.rate).alias("te"), F.max("decay").alias("top"), F.min("decay").alias("low"))
 
+    @cached_property
+    def slots(self) -> DataFrame:
+        """K-weighted energy of every tenth of a second, summed over the channels: recording_id, slot, s, length (samples at 48 kHz)."""
+        rate, native = dsp.K_RATE, self.settings.rate
+        g = gcd(rate, native)
+        up, down = rate // g, native // g
+        hop = round(0.1 * rate)
+        around = 10 * max(up, down) // up + 2  # what resampling sees on both sides
+        before, after = ceil(dsp.K_TAPS * native / rate) + 2 * around, around
+
+        def filtered(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    length, first, number = (b[c][i].as_py() for c in ("length", "first", "block"))
+                    x = b["x"][i].values.to_numpy(zero_copy_only=False)
+                    lead = -(-first // down) * down - first  # whole samples stay whole after resampling
+                    y = dsp.resample(x[lead:], native, rate) if up != down else x
+                    at = (first + lead) // down * up if up != down else first
+                    # resampling of a cut is off near the cut, and the filter long after it; neither is kept
+                    own, stop, end = (-(-n * up // down) for n in (number * BLOCK, (number + 1) * BLOCK, length))
+                    y = dsp.fir(y, dsp.k_taps())[own - at : min(stop, end) - at]
+                    slot = (np.arange(len(y)) + own) // hop
+                    if len(y):
+                        s = np.bincount(slot - slot[0], y * y)
+                        n = len(s)
+                        yield pa.RecordBatch.from_arrays([pa.array([b["recording_id"][i].as_py()] * n), pa.array(np.full(n, end)), pa.array(np.arange(n) + slot[0]), pa.array(s)], [REC, "length", "slot", "s"])
+
+        found = self.packed("every", before, after).mapInArrow(filtered, f"{REC} string, length long, slot long, s double")
+        return found.groupBy(_recording().alias(REC), "slot").agg(F.sum("s").alias("s"), F.max("length").alias("length"))
+
     def loudness(self, win_s: float) -> DataFrame:
-        """Blocks of K-weighted energy every 0.1 s: recording_id, frame, e, v (LUFS). Samples are taken to be at 48 kHz."""
-        rate = dsp.K_RATE
-        size, hop = round(win_s * rate), round(0.1 * rate)
-        span = max(4 * hop, 2 * dsp.K_TAPS)
-
-        def filtered(rows):
-            for b in rows:
-                for r in b.itertuples():
-                    y = dsp.fir(np.asarray(r.x, float), dsp.k_taps())
-                    skip = int(r.block * span - r.first)
-                    y = y[skip:]
-                    n = np.arange(len(y)) + r.block * span
-                    # energy of every tenth of a second, of which blocks are made
-                    part = pd.Series(y * y).groupby(n // hop).agg(["sum", "size"])
-                    yield pd.DataFrame({"recording_id": r.recording_id, "length": r.length, "slot": part.index, "s": part["sum"].to_numpy()})
-
-        packed = blocks(self.mono, ["x"], dsp.K_TAPS, 0, span)
-        slots = packed.mapInPandas(filtered, "recording_id string, length long, slot long, s double").groupBy(REC, "length", "slot").agg(F.sum("s").alias("s"))
+        """Blocks of K-weighted energy every 0.1 s: recording_id, frame, e (sum over the channels of their mean squares), v (LUFS)."""
+        size, hop = round(win_s * dsp.K_RATE), round(0.1 * dsp.K_RATE)
         k = size // hop
         last = F.greatest(F.lit(0), F.floor((F.col("length") - size) / hop))
         lo = F.greatest(F.lit(0), F.col("slot") - k + 1)
         hi = F.least(F.col("slot"), last)
-        spread = slots.withColumn("frame", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))))
+        spread = self.slots.withColumn("frame", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))))
         e = spread.groupBy(REC, "frame").agg((F.sum("s") / size).alias("e"))
         return e.withColumn("v", -0.691 + power_db(F.col("e")))
 
     @cached_property
     def quality(self) -> DataFrame:
-        """Per recording: clipping ratio, offset, share of finite samples."""
-        return self.mono.groupBy(REC).agg(
-            F.avg((F.abs("x") >= 0.999).cast("double")).alias("clipping_ratio"), F.avg("x").alias("dc_offset"), F.avg((F.col("x").isNotNull() & ~F.isnan("x")).cast("double")).alias("finite")
-        )
+        """Per recording, over all channels: clipping ratio, offset, share of finite samples, peak."""
+
+        def count(batches):
+            for b in batches:
+                offsets, x = b["x"].offsets.to_numpy(), b["x"].values.to_numpy(zero_copy_only=False)
+                rows = [x[i:j] for i, j in zip(offsets[:-1], offsets[1:])]
+                sums = [(len(r), int((np.abs(r) >= 0.999).sum()), float(r[np.isfinite(r)].sum()), int(np.isfinite(r).sum()), float(np.abs(r).max(initial=0.0))) for r in rows]
+                yield pa.RecordBatch.from_arrays([b[REC], *(pa.array(c) for c in zip(*sums))] if sums else [b[REC], *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()))], [REC, "n", "c", "s", "f", "p"])
+
+        sums = self.packed("every", 0, 0).select(REC, "x").mapInArrow(count, f"{REC} string, n long, c long, s double, f long, p double").groupBy(_recording().alias(REC))
+        return sums.agg((F.sum("c") / F.sum("n")).alias("clipping_ratio"), (F.sum("s") / F.sum("f")).alias("dc_offset"), (F.sum("f") / F.sum("n")).alias("finite"), F.max("p").alias("peak"))
 
     @cached_property
     def silence(self) -> DataFrame:
@@ -208,6 +292,17 @@ class Source:
         return self.levels.groupBy(REC).agg(F.avg((quiet & (F.sqrt("power") < 1e-4)).cast("double")).alias("dropout"), F.avg(quiet.cast("double")).alias("silence"))
 
 
+def products(rows: list[np.ndarray], size: int) -> dict[str, np.ndarray]:
+    """Means of two rows of frames, of their squares and of their product."""
+    x, y = rows
+    return {"a": x.sum(1) / size, "b": y.sum(1) / size, "aa": (x * x).sum(1) / size, "bb": (y * y).sum(1) / size, "ab": (x * y).sum(1) / size}
+
+
+def _recording() -> Column:
+    """The recording of a channel's blocks."""
+    return F.regexp_replace(F.col(REC), _BY + "[0-9]+$", "")
+
+
 def _level(s: Source) -> DataFrame:
     return s.levels.select(REC, "frame", db(F.sqrt("power")).alias("v"))
 
@@ -221,7 +316,7 @@ def _exceeded(percent: float) -> Callable[[Source], DataFrame]:
 
 
 def _exposure(levels: DataFrame, s: Source) -> DataFrame:
-    seconds = s.mono.groupBy(REC).agg(((F.max("n") + 1) / s.settings.rate).alias("sec"))
+    seconds = s.lengths.select(REC, (F.col("length") / s.settings.rate).alias("sec"))
     return levels.groupBy(REC).agg(leq(F.col("v")).alias("q")).join(seconds, REC).select(REC, (F.col("q") + 10 * F.log10(F.greatest(F.col("sec"), F.lit(FLOOR)))).alias("v"))
 
 
@@ -240,13 +335,6 @@ def _zero_crossings(s: Source) -> DataFrame:
     return framed(turned, c.frame, c.hop).groupBy(REC, "frame").agg((F.sum(F.when(F.col("n") > F.col("start"), F.col("turn")).otherwise(0)) / c.frame).alias("v"))
 
 
-def _band_sum(low: float, high: float) -> Callable[[Source], DataFrame]:
-    def make(s: Source) -> DataFrame:
-        return s.spectra.select(REC, "frame", total(F.zip_with("mag", s.freqs, lambda m, f: F.when((f >= low) & (f <= high), m).otherwise(0.0))).alias("v"))
-
-    return make
-
-
 def _z(values: DataFrame) -> DataFrame:
     stats = values.groupBy(REC).agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))
     return values.join(stats, REC).select(REC, "frame", ((F.col("v") - F.col("mu")) / (F.col("sd") + FLOOR)).alias("v"))
@@ -330,10 +418,17 @@ def _band_levels(fraction: int) -> Callable[[Source], DataFrame]:
     return lambda s: s.bands(fraction).groupBy(REC, F.col("band").alias("frame")).agg(leq(F.col("level")).alias("v"))
 
 
-def _coherence(s: Source) -> DataFrame:
+def _correlation() -> Column:
+    """Correlation of two rows from their means; 0 where one of them does not vary."""
     va, vb = F.col("aa") - F.col("a") * F.col("a"), F.col("bb") - F.col("b") * F.col("b")
     r = (F.col("ab") - F.col("a") * F.col("b")) / F.sqrt(F.greatest(va * vb, F.lit(1e-300)))
-    return s.pairs.select(REC, "frame", F.when((va < 1e-24) | (vb < 1e-24), 0.0).otherwise(r).alias("v"))
+    return F.when((va < 1e-24) | (vb < 1e-24), 0.0).otherwise(r)
+
+
+def _coherence(s: Source) -> DataFrame:
+    """Mean over the pairs of adjacent channels; 1 for a single channel."""
+    held = s.neighbours.groupBy(REC, "frame").agg(F.avg(_correlation()).alias("v"))
+    return s.levels.select(REC, "frame").join(held, [REC, "frame"], "left").select(REC, "frame", F.coalesce("v", F.lit(1.0)).alias("v"))
 
 
 def _level_difference(s: Source) -> DataFrame:
@@ -361,20 +456,24 @@ def _ambisonic(part: str) -> Callable[[Source], DataFrame]:
             "diffuseness": F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.sqrt(F.col("i1") ** 2 + F.col("i2") ** 2 + F.col("i3") ** 2) / (F.col("e") + FLOOR))),
             "azimuth": F.degrees(F.atan2("i2", "i1")), "elevation": F.degrees(F.atan2(F.col("i3"), flat + FLOOR)),
         }[part]
-        return m.select(REC, v.alias("v"))
+        return s.signal(4).groupBy(REC).agg(F.lit(1).alias("one")).join(m.select(REC, v.alias("v")), REC, "left").select(REC, "v")
 
     return make
 
 
 def _lateral(correlated: bool) -> Callable[[Source], DataFrame]:
+    """Energy of all channels but the first between 5 and 80 ms, as a share; null for a single channel."""
+
     def make(s: Source) -> DataFrame:
         n0, n1 = round(0.005 * s.settings.rate), round(0.08 * s.settings.rate)
-        early = wide(s.signal(2), 2).where((F.col("n") >= n0) & (F.col("n") < n1))
-        m = early.groupBy(REC).agg(*[F.avg(e).alias(k) for k, e in {"a": F.col("x0"), "b": F.col("x1"), "aa": F.col("x0") ** 2, "bb": F.col("x1") ** 2, "ab": F.col("x0") * F.col("x1")}.items()], F.count("*").alias("c"))
-        lf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("bb") * F.col("c") / ((F.col("aa") + F.col("bb")) * F.col("c") + FLOOR)))
-        va, vb = F.col("aa") - F.col("a") ** 2, F.col("bb") - F.col("b") ** 2
-        r = F.when((va < 1e-24) | (vb < 1e-24), 0.0).otherwise(F.abs((F.col("ab") - F.col("a") * F.col("b")) / F.sqrt(F.greatest(va * vb, F.lit(1e-300)))))
-        return m.select(REC, (lf * r if correlated else lf).alias("v"))
+        early = s.signal(s.lateral_channels).where((F.col("n") >= n0) & (F.col("n") < n1))
+        first = early.where("channel = 0").select(REC, "n", F.col("x").alias("x0"))
+        # rows are the samples of 75 ms
+        m = early.join(first, [REC, "n"]).groupBy(REC, "channel").agg(*[F.avg(e).alias(k) for k, e in {"a": F.col("x0"), "b": F.col("x"), "aa": F.col("x0") ** 2, "bb": F.col("x") ** 2, "ab": F.col("x0") * F.col("x")}.items()], F.sum(F.col("x") ** 2).alias("e"))
+        m = m.withColumn("r", F.abs(_correlation()))
+        both = m.groupBy(REC).agg(F.sum("e").alias("e"), F.sum(F.when(F.col("channel") > 0, F.col("e"))).alias("side"), F.avg(F.when(F.col("channel") > 0, F.col("r"))).alias("r"))
+        lf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("side") / (F.col("e") + FLOOR)))
+        return both.select(REC, F.when(F.col("side").isNotNull(), lf * F.col("r") if correlated else lf).alias("v"))
 
     return make
 
@@ -430,28 +529,32 @@ def _loudness_range(s: Source) -> DataFrame:
 
 
 def _true_peak(s: Source) -> DataFrame:
+    """The highest value of any channel at four times the rate."""
     reach = 12
 
-    def over(rows):
-        for b in rows:
-            for r in b.itertuples():
-                x = np.asarray(r.x, float)
-                yield pd.DataFrame({REC: [r.recording_id], "p": [np.abs(dsp.resample(x, 1, 4)[4 * int(r.block * span - r.first) : 4 * int((r.block + 1) * span - r.first)]).max()]})
+    def over(batches):
+        for b in batches:
+            top = []
+            for i in range(b.num_rows):
+                first, number = b["first"][i].as_py(), b["block"][i].as_py()
+                x = b["x"][i].values.to_numpy(zero_copy_only=False)
+                top.append(float(np.abs(dsp.resample(x, 1, 4)[4 * (number * BLOCK - first) : 4 * ((number + 1) * BLOCK - first)]).max(initial=0.0)))
+            yield pa.RecordBatch.from_arrays([b[REC], pa.array(top, pa.float64())], [REC, "p"])
 
-    span = 16_384
-    found = blocks(s.mono, ["x"], reach, reach, span).mapInPandas(over, f"{REC} string, p double")
-    return found.groupBy(REC).agg(F.max("p").alias("p")).select(REC, db(F.col("p")).alias("v"))
+    found = s.packed("every", reach, reach).mapInArrow(over, f"{REC} string, p double")
+    return found.groupBy(_recording().alias(REC)).agg(F.max("p").alias("p")).select(REC, db(F.col("p")).alias("v"))
 
 
 def _clip_events(s: Source) -> DataFrame:
-    clipped = s.mono.groupBy(REC, "n").agg(F.max((F.abs("x") >= 0.999).cast("int")).alias("c"))
+    clipped = s.every.groupBy(REC, "n").agg(F.max((F.abs("x") >= 0.999).cast("int")).alias("c"))
     return with_previous(clipped, [REC], "n", {"c": "before"}).groupBy(REC).agg(F.sum(((F.col("c") == 1) & (F.col("before") == 0)).cast("double")).alias("v"))
 
 
 def _drift(s: Source) -> DataFrame:
-    """The second of two channels is taken for the recorded calibration tone, with a nominal level of -20 dBFS."""
-    tone = s.signal(2).where("channel = 1")
-    return tone.groupBy(REC).agg(F.avg(F.col("x") * F.col("x")).alias("p")).select(REC, (db(F.sqrt("p")) + 20).alias("v"))
+    """Level of the recorded calibration tone against its nominal level; null without a tone."""
+    if s.tone is None:
+        return s.lengths.select(REC, F.lit(None).cast("double").alias("v"))
+    return s.tone().groupBy(REC).agg(F.avg(F.col("x") * F.col("x")).alias("p")).select(REC, (db(F.sqrt("p")) - s.settings.tone_dbfs).alias("v"))
 
 
 def name_time(name: Column) -> Column:
@@ -464,7 +567,7 @@ def name_time(name: Column) -> Column:
 
 
 def _diurnal(s: Source) -> DataFrame:
-    sec = s.mono.groupBy(REC).agg(((F.max("n") + 1) / s.settings.rate).alias("sec")).withColumn("t", name_time(F.lit(s.file_name)))
+    sec = s.lengths.select(REC, (F.col("length") / s.settings.rate).alias("sec")).withColumn("t", name_time(F.col(REC) if s.file_name is None else F.lit(s.file_name)))
     stop = F.timestamp_micros((F.unix_micros(F.col("t").cast("timestamp_ltz")) + F.floor(F.col("sec") * 1e6)).cast("long"))
     hours = F.size(F.array_distinct(F.transform(F.sequence(F.col("t").cast("timestamp_ltz"), stop, F.expr("interval 30 minutes")), F.hour)))
     return sec.select(REC, F.when(F.col("t").isNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("sec") / 86400))).otherwise(hours / 24.0).alias("v"))
@@ -495,6 +598,7 @@ class Metric:
     confidence: float = 1.0
     streaming: bool = True
     calibrated: bool = False
+    weak: float | None = None  # confidence where no value could be told
 
 
 _ROOM, _LEVEL, _SPEC, _ECO, _ANOM, _SPACE = "Architectural Acoustics", "Level & Loudness", "Spectral", "Ecoacoustics", "Anomaly / Novelty", "Spatial"
@@ -514,8 +618,8 @@ METRICS: dict[str, Metric] = {
         Metric("spectral_flatness", _SPEC, "ratio", _shape("flatness")),
         Metric("spectral_rolloff_hz", _SPEC, "Hz", _shape("rolloff")),
         Metric("zero_crossing_rate", "Temporal", "ratio", _zero_crossings, 0.9),
-        Metric("bioacoustic_index", _ECO, "a.u.", _band_sum(2000.0, 8000.0), streaming=False),
-        Metric("acoustic_complexity_index", _ECO, "ratio", lambda s: s.spectra.select(REC, "frame", (F.col("change") / F.greatest(total(F.col("mag")), F.lit(FLOOR))).alias("v")), 0.9, False),
+        Metric("bioacoustic_index", _ECO, "a.u.", _shape("bio"), streaming=False),
+        Metric("acoustic_complexity_index", _ECO, "ratio", lambda s: s.shapes.select(REC, "frame", (F.col("change") / F.greatest(F.col("whole"), F.lit(FLOOR))).alias("v")), 0.9, False),
         Metric("interchannel_coherence", _SPACE, "ratio", _coherence, 0.9),
         Metric("novelty_curve", _ANOM, "a.u.", _shape("novelty"), 0.95),
         Metric("spectral_change_detection", _ANOM, "zscore", lambda s: _z(_shape("novelty")(s)), 0.9),
@@ -527,7 +631,7 @@ METRICS: dict[str, Metric] = {
         Metric("leq_db", _LEVEL, "dB", lambda s: _spl(s).groupBy(REC).agg(leq(F.col("v")).alias("v")), calibrated=True),
         Metric("lmax_db", _LEVEL, "dB", lambda s: _spl(s).groupBy(REC).agg(F.max("v").alias("v")), calibrated=True),
         Metric("lmin_db", _LEVEL, "dB", lambda s: _spl(s).groupBy(REC).agg(F.min("v").alias("v")), calibrated=True),
-        Metric("lpeak_dbfs", _LEVEL, "dBFS", lambda s: s.mono.groupBy(REC).agg(F.max(F.abs("x")).alias("p")).select(REC, db(F.col("p")).alias("v"))),
+        Metric("lpeak_dbfs", _LEVEL, "dBFS", lambda s: s.quality.select(REC, db(F.col("peak")).alias("v"))),
         *[Metric(f"l{p}_db", _LEVEL, "dB", _exceeded(p), calibrated=True) for p in (10, 50, 90, 95)],
         Metric("sel_db", _LEVEL, "dB", lambda s: _exposure(_spl(s), s), calibrated=True),
         Metric("lae_db", _LEVEL, "dBA", lambda s: _exposure(s.weighted("A"), s), calibrated=True),
@@ -541,8 +645,8 @@ METRICS: dict[str, Metric] = {
         Metric("t30_s", _ROOM, "s", lambda s: s.fit(-5, -35), 0.85, False),
         Metric("ts_ms", _ROOM, "ms", _energy(lambda: F.col("te") / (F.col("e") + FLOOR) * 1000), 0.9, False),
         Metric("g_strength_db", _ROOM, "dB", _energy(lambda: 10 * F.log10((F.col("e") + FLOOR) / FLOOR)), 0.5, False),
-        Metric("lf_ratio", _ROOM, "ratio", _lateral(False), 0.6, False),
-        Metric("lfc_ratio", _ROOM, "ratio", _lateral(True), 0.6, False),
+        Metric("lf_ratio", _ROOM, "ratio", _lateral(False), 0.6, False, weak=0.2),
+        Metric("lfc_ratio", _ROOM, "ratio", _lateral(True), 0.6, False, weak=0.2),
         Metric("bass_ratio", _ROOM, "ratio", _bass, 0.7, False),
         Metric("ndsi", _ECO, "ratio", _ndsi, 0.9, False),
         Metric("adi", _ECO, "ratio", _occupancy(True), 0.85, False),
@@ -553,16 +657,16 @@ METRICS: dict[str, Metric] = {
         Metric("ild_db", _SPACE, "dB", _level_difference),
         Metric("ipd_rad", _SPACE, "rad", _stereo("ipd")),
         Metric("itd_s", _SPACE, "s", _stereo("itd")),
-        Metric("ambisonic_diffuseness", _SPACE, "ratio", _ambisonic("diffuseness"), 0.8, False),
-        Metric("ambisonic_energy_vector_azimuth_deg", _SPACE, "deg", _ambisonic("azimuth"), 0.8, False),
-        Metric("ambisonic_energy_vector_elevation_deg", _SPACE, "deg", _ambisonic("elevation"), 0.8, False),
+        Metric("ambisonic_diffuseness", _SPACE, "ratio", _ambisonic("diffuseness"), 0.8, False, weak=0.2),
+        Metric("ambisonic_energy_vector_azimuth_deg", _SPACE, "deg", _ambisonic("azimuth"), 0.8, False, weak=0.2),
+        Metric("ambisonic_energy_vector_elevation_deg", _SPACE, "deg", _ambisonic("elevation"), 0.8, False, weak=0.2),
         Metric("doa_azimuth_proxy_deg", _SPACE, "deg", _doa, 0.7),
         Metric("clipping_ratio", "Basic", "ratio", lambda s: s.quality.select(REC, F.col("clipping_ratio").alias("v"))),
         Metric("clipping_event_count", "Basic", "count", _clip_events),
         Metric("dc_offset", "Basic", "linear", lambda s: s.quality.select(REC, F.col("dc_offset").alias("v"))),
         Metric("dropout_ratio", "Basic", "ratio", lambda s: s.silence.select(REC, F.col("dropout").alias("v")), 0.9),
         Metric("silence_ratio", "Basic", "ratio", lambda s: s.silence.select(REC, F.col("silence").alias("v")), 0.9),
-        Metric("calibration_drift_db", _LEVEL, "dB", _drift, 1.0, False, True),
+        Metric("calibration_drift_db", _LEVEL, "dB", _drift, 1.0, False, True, 0.2),
         Metric("isolation_forest_score", _ANOM, "score", _anomaly, 0.6, False),
         Metric("ocsvm_score", _ANOM, "score", _anomaly, 0.55, False),
         Metric("autoencoder_recon_error", _ANOM, "mse", _reconstruction, 0.8, False),
@@ -605,7 +709,7 @@ def discover(group: str = "sonarlake.metrics") -> list[str]:
 def chunked(source: Source, size: int) -> Source:
     """The same signals with every ``size`` samples as a recording of its own (recording_id#chunk): metrics per chunk, as a stream gives them."""
     cut = lambda df: df.select(F.concat_ws("#", REC, F.floor(F.col("n") / size)).alias(REC), "channel", F.pmod("n", F.lit(size)).alias("n"), "x")
-    return Source(lambda c: cut(source.signal(c)), lambda: cut(source.impulse()), source.settings, source.file_name)
+    return Source(lambda c: cut(source.signal(c)), lambda: cut(source.impulse()), source.settings, source.file_name, source.tone)
 
 
 def metric_names(wanted: list[str] | None = None) -> list[str]:
@@ -620,15 +724,65 @@ def metric_names(wanted: list[str] | None = None) -> list[str]:
 def summary(source: Source, name: str) -> DataFrame:
     """One row per recording: metric, units, confidence, and the summary of its values."""
     m = (METRICS | _EXTRA)[name]
-    return m.compute(source).groupBy(REC).agg(*summary_columns()).select(REC, F.lit(m.name).alias("metric"), F.lit(m.units).alias("units"), F.lit(m.confidence).alias("confidence"), "n", "mean", "std", "min", "max", "p50", "p95")
+    found = m.compute(source).groupBy(REC).agg(*summary_columns())
+    confidence = F.lit(m.confidence) if m.weak is None else F.when(F.col("n") == 0, m.weak).otherwise(m.confidence)
+    return found.select(REC, F.lit(m.name).alias("metric"), F.lit(m.units).alias("units"), confidence.alias("confidence"), "n", "mean", "std", "min", "max", "p50", "p95")
+
+
+#: Tables of a source that several metrics are made of, each a row per frame or less.
+_SHARED = ("levels", "shapes", "mean_bins", "slots", "quality", "pairs", "neighbours", "stereo", "lengths", "energies")
+
+
+def shared(source: Source, tables: tuple[str, ...] = _SHARED) -> Source:
+    """The source with the tables that metrics share written once and read again, instead of computed for every metric.
+
+    Recordings are then decoded once for each of these tables, however many metrics are asked for.
+    """
+
+    class Kept(Source):
+        def __getattribute__(self, name: str):
+            held = object.__getattribute__(self, "__dict__")
+            if name in tables and name not in held:
+                held[name] = keep(getattr(source, name))
+            return object.__getattribute__(self, name)
+
+    return Kept(source.signal, source.impulse, source.settings, source.file_name, source.tone, source.packer, source.lateral_channels)
 
 
 def analyze(source: Source, wanted: list[str] | None = None) -> DataFrame:
     """The summaries of several metrics in one table."""
-    parts = [summary(source, name) for name in metric_names(wanted)]
+    names = metric_names(wanted)
+    source = shared(source) if len(names) > 1 else source
+    parts = [summary(source, name) for name in names]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+_STFT = {n for n, m in METRICS.items() if m.category in ("Spectral", "Ecoacoustics", "Anomaly / Novelty")} | {"spl_a_db", "spl_c_db", "iacc", "ipd_rad", "itd_s"}
+_BLOCKS_S = {"momentary_lufs": 0.4, "short_term_lufs": 3.0}
+
+
+def series(source: Source, wanted: list[str] | None = None) -> DataFrame:
+    """recording_id, metric, timestamp_s, value, units: the values of metrics that have one for every frame, and the time of each.
+
+    Times are starts of frames, middles of frames for what comes from transforms and of blocks for loudness. Metrics of one value for a recording give it at 0.
+    """
+    names, c = metric_names(wanted), source.settings
+    source = shared(source) if len(names) > 1 else source
+    out = None
+    for name in names:
+        m = (METRICS | _EXTRA)[name]
+        v = m.compute(source)
+        if "frame" not in v.columns or name in ("octave_band_level_db", "third_octave_band_level_db", "eco_octave_trends"):
+            v = v.withColumn("t", F.lit(0.0))
+        elif name in _BLOCKS_S:
+            v = v.withColumn("t", F.col("frame") * 0.1 + _BLOCKS_S[name] / 2)
+        elif name in _STFT:
+            v = v.withColumn("t", (F.col("frame") * c.fft_hop + c.fft / 2) / c.rate)
+        else:  # the last frame ends with the signal
+            v = v.join(source.lengths, REC).withColumn("t", F.least(F.col("frame") * c.hop, F.greatest(F.col("length") - c.frame, F.lit(0))) / c.rate)
+        part = v.select(REC, F.lit(name).alias("metric"), F.col("t").cast("double").alias("timestamp_s"), F.col("v").alias("value"), F.lit(m.units).alias("units"))
+        out = part if out is None else out.unionByName(part)
+    return out

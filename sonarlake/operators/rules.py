@@ -87,10 +87,10 @@ def best(moments: DataFrame, k: int) -> DataFrame:
 
 
 def cut_clips(signal: DataFrame, clips: DataFrame, block: int = 4096) -> DataFrame:
-    """Samples of each clip: clip_id, recording_id, n, x. ``clips``: clip_id, recording_id, first, last (inclusive sample numbers).
+    """Samples of each clip: clip_id, recording_id, n, x, and channel if the signal has it. ``clips``: clip_id, recording_id, first, last (inclusive sample numbers).
 
     A range join by blocks of samples, so that it is an equi-join that a long recording is spread over.
     """
     spread = clips.withColumn("b", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))))
     held = signal.withColumn("b", F.floor(F.col("n") / block))
-    return held.join(spread, ["recording_id", "b"]).where("n between first and last").select("clip_id", "recording_id", "n", "x")
+    return held.join(spread, ["recording_id", "b"]).where("n between first and last").select("clip_id", "recording_id", *[c for c in ("channel",) if c in signal.columns], "n", "x")

@@ -6,17 +6,17 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonarlake.functions.provenance import documents, pipeline_hash
-from sonarlake.operators.metrics import METRICS, REC, Source, analyze, metric_names
+from sonarlake.operators.metrics import REC, Source, analyze, metric_names, series
 from sonarlake.operators.reports import frame_wide, pending
 from sonarlake.sources.exports import write_documents, write_table
+from sonarlake.sources.recordings import audio_files, recordings, sample_blocks, samples
 from sonarlake.sources.signals import Settings
-from sonarlake.sources.wav import wav_files, wav_recordings, wav_signal
+from sonarlake.sources.storage import exists, write_text
 
 STAGES = ("analyze", "frames", "digest")
 FRAME_METRICS = ("rms_dbfs", "peak_dbfs", "crest_factor_db")
@@ -32,39 +32,37 @@ class Job:
     settings: Settings = Settings()
 
 
-def folder_source(signal: DataFrame, settings: Settings) -> Source:
-    """A source over decoded files: mono is the mean of the channels, more channels are taken as they are."""
-    mono = signal.groupBy(REC, "n").agg(F.avg("x").alias("x")).select(REC, F.lit(0).alias("channel"), "n", "x")
-    return Source(lambda c: mono if c == 1 else signal.where(F.col("channel") < c), lambda: mono, settings)
+def folder_source(files: DataFrame, settings: Settings) -> Source:
+    """A source over files, at the rate of the settings: blocks come from the decoder, rows of samples only for metrics that need them."""
+    every = samples(files, settings.rate)
+    mono = samples(files, settings.rate, True)
+    signal = lambda c: mono if c == 1 else every.where(F.col("channel") < c) if c else every
+    return Source(signal, lambda: mono, settings, packer=lambda which, before, after: sample_blocks(files, which, before, after, settings.rate), lateral_channels=0)
 
 
 def _analyze(spark: SparkSession, job: Job) -> dict:
-    files = wav_files(spark, job.folder)
-    meta = wav_recordings(files)
-    write_table(meta, f"{job.out}/recordings")
+    files = audio_files(spark, job.folder)
+    write_table(recordings(files), f"{job.out}/recordings")
     good = spark.read.parquet(f"{job.out}/recordings").where("error is null and num_samples > 0")
     done = f"{job.out}/results"
     digest = pipeline_hash(job.settings, list(job.metrics))
-    known = spark.read.parquet(done).where(F.col("pipeline_hash") == digest) if Path(done).exists() else None
+    known = spark.read.parquet(done).where(F.col("pipeline_hash") == digest) if exists(spark, done) else None
     left = good.select(REC).distinct() if known is None else pending(good, known, REC)
     n = left.count()
     if n:
         todo = files.join(left.withColumnRenamed(REC, "path"), "path", "left_semi")
-        rows = analyze(folder_source(wav_signal(todo, job.settings.rate), job.settings), list(job.metrics)).withColumn("pipeline_hash", F.lit(digest))
+        rows = analyze(folder_source(todo, job.settings), list(job.metrics)).withColumn("pipeline_hash", F.lit(digest))
         write_table(rows, done, mode="append")
-        write_documents(documents(spark.read.parquet(done).where(F.col("pipeline_hash") == digest).drop("pipeline_hash"), job.settings), f"{job.out}/documents")
+        found = spark.read.parquet(done).where(F.col("pipeline_hash") == digest).drop("pipeline_hash")
+        write_documents(documents(found, job.settings, good), f"{job.out}/documents")
     return {"analyzed": n, "unreadable": spark.read.parquet(f"{job.out}/recordings").where("error is not null").count()}
 
 
 def _frames(spark: SparkSession, job: Job) -> dict:
-    s = folder_source(wav_signal(wav_files(spark, job.folder), job.settings.rate), job.settings)
     wanted = [m for m in FRAME_METRICS if m in metric_names(list(job.metrics))]
-    long = None
-    for m in wanted:
-        part = METRICS[m].compute(s).select(REC, (F.col("frame") * job.settings.hop / job.settings.rate).alias("timestamp_s"), F.lit(m).alias("metric"), F.col("v").alias("value"))
-        long = part if long is None else long.unionByName(part)
-    if long is None:
+    if not wanted:
         return {"frames": 0}
+    long = series(folder_source(audio_files(spark, job.folder), job.settings), wanted)
     write_table(frame_wide(long, wanted), f"{job.out}/frames")
     return {"frames": spark.read.parquet(f"{job.out}/frames").count()}
 
@@ -80,7 +78,6 @@ RUNNERS: dict[str, Callable[[SparkSession, Job], dict]] = {"analyze": _analyze,
 
 def run(spark: SparkSession, job: Job, stages: tuple[str, ...] = STAGES) -> dict:
     """Runs stages in order and keeps a manifest; an unknown stage fails and is passed over, a stage that raises ends the run."""
-    Path(job.out).mkdir(parents=True, exist_ok=True)
     manifest: dict = {"status": "completed", "stages": {}}
     for name in stages:
         began = time.time()
@@ -96,7 +93,7 @@ def run(spark: SparkSession, job: Job, stages: tuple[str, ...] = STAGES) -> dict
             entry.update(status="failed", error=str(e)[:500])
             manifest["status"] = "failed"
         entry["duration_s"] = round(time.time() - began, 3)
-        (Path(job.out) / "manifest.json").write_text(json.dumps(manifest, indent=1))
+        write_text(spark, f"{job.out}/manifest.json", json.dumps(manifest, indent=1))
         if entry["status"] == "failed":
             break
     return manifest

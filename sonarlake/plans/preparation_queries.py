@@ -80,8 +80,8 @@ QUERIES = {f.__name__: f for f in (p3_found, p3_grid, p4_found, p5_found, p5_cer
 
 SQL = {
     "p6_readable": """
-WITH docs AS (SELECT DISTINCT ON (result_id) result_id, producer, payload, payload IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT' AS readable FROM result_docs),
-leaves AS (SELECT d.result_id, count(*) AS n FROM (SELECT * FROM docs WHERE readable) d, json_tree(d.payload) t
+WITH docs AS (SELECT DISTINCT ON (result_id) result_id, producer, payload, CASE WHEN payload IS NOT NULL AND json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END AS readable FROM result_docs),
+leaves AS (SELECT d.result_id, count(*) AS n FROM (SELECT result_id, CASE WHEN readable THEN payload ELSE '{}' END AS payload FROM docs) d, json_tree(d.payload) t
   WHERE t.fullkey <> '$' AND t.fullkey NOT LIKE '%[%' AND t.path <> '$.metrics' AND t.path NOT LIKE '$.metrics.%' AND (t.type <> 'OBJECT' OR t.fullkey = '$.metrics') GROUP BY d.result_id)
 SELECT result_id, producer, coalesce(readable, false) AS readable, CASE WHEN readable THEN coalesce(n, 0) END AS n_fields FROM docs LEFT JOIN leaves USING (result_id)""",
     "p5_certain": """

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from sonarlake.functions import dsp
 from sonarlake.functions.levels import db, rounded, settled, settled_sql, summary_columns, total
-from sonarlake.operators import rules
+from sonarlake.operators import quality, rules, vectors
 from sonarlake.operators.frames import blocks, framed, frames_of_blocks, peaks_in_blocks
 from sonarlake.operators.metrics import METRICS, REC, Source, chunked, name_time
 from sonarlake.operators.percentiles import exact_percentiles
 from sonarlake.operators.similarity import band_similarity, kernel, novelty
 from sonarlake.plans import metric_sql as m
 from sonarlake.plans.metric_queries import event_source
+from sonarlake.plans.workflows import beam_scores
 from sonarlake.sources.signals import Settings, event_signal, wide
 from sonarlake.sources.tables import table
 
@@ -60,22 +61,7 @@ def channel_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def validity_flags(spark: SparkSession, d: str) -> DataFrame:
     """Clipping, offset, and whether the decayed signal looks like an impulse response with a usable tail."""
-    s = event_source(spark, d)
-    q = s.quality.select(REC, (F.col("clipping_ratio") > 0).alias("clipping"), (F.abs("dc_offset") > 1e-3).alias("dc_offset_excessive"))
-    imp = s.impulse()
-    top = imp.groupBy(REC).agg(F.min_by("n", F.struct(-F.abs("x"), F.col("n"))).alias("at"), (F.max("n") + 1).alias("length"))
-    size = F.col("length") - F.col("at")
-    head = F.greatest(F.lit(4), F.least(F.lit(64), F.floor(size / 8)))
-    t = imp.join(top, REC).where(F.col("n") >= F.col("at"))
-    ends = t.groupBy(REC).agg(
-        F.avg(F.when(F.col("n") - F.col("at") < head, F.abs("x"))).alias("first"), F.avg(F.when(F.col("n") >= F.col("length") - head, F.abs("x"))).alias("last"), F.max("at").alias("at"), F.max("length").alias("length")
-    )
-    seen = ends.select(REC, ((F.col("at") <= F.greatest(F.lit(1), F.floor(F.col("length") / 8))) & (F.col("first") > 0) & (F.col("last") < F.col("first"))).alias("ir_detected"))
-    fit = s.fit(-5, -35).select(REC, "r2")
-    low = s.energies.select(REC, (F.col("top") - F.col("low")).alias("range"))
-    out = q.join(seen, REC).join(fit, REC).join(low, REC)
-    weak = F.col("ir_detected") & ((F.col("range") < 35) | F.coalesce(F.col("r2") < 0.85, F.lit(False)))
-    return out.select(REC, "clipping", "dc_offset_excessive", "ir_detected", weak.alias("ir_tail_low_snr"))
+    return quality.validity_flags(event_source(spark, d)).drop("snr_confidence_low")
 
 
 def fractional_octave_range_join(spark: SparkSession, d: str) -> DataFrame:
@@ -116,6 +102,13 @@ def mel_spectrum(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_mel(event_source(spark, d)).withColumn("log_energy", F.log1p("energy")), 9)
 
 
+def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of 16 log-mel energies and the shape of every short frame, one row per position."""
+    v = vectors.feature_vectors(event_source(spark, d), MELS)
+    named = v.select("frame_idx", F.explode(F.arrays_zip("feature_names", "matrix")).alias("f"))
+    return rounded(named.select("frame_idx", F.col("f.feature_names").alias("feature"), F.col("f.matrix").alias("value")), 5)
+
+
 def core_features(spark: SparkSession, d: str) -> DataFrame:
     """Shape of the spectrum, its change, level and sign changes of every short frame."""
     s = event_source(spark, d)
@@ -125,7 +118,7 @@ def core_features(spark: SparkSession, d: str) -> DataFrame:
         x = rows[0]
         return {"rms_linear": (x * x).mean(1) ** 0.5, "zcr_ratio": ((x[:, 1:] < 0) != (x[:, :-1] < 0)).mean(1)}
 
-    t = frames_of_blocks(blocks(s.mono, ["x"], 0, c.fft), ["x"], c.fft, c.fft_hop, time_domain, "rms_linear double, zcr_ratio double", False)
+    t = s.of_blocks("mono", c.fft, c.fft_hop, time_domain, "rms_linear double, zcr_ratio double", False)
     return rounded(s.shapes.select(REC, "frame", "centroid", "bandwidth", "flatness", "rolloff", F.col("flux2").alias("flux")).join(t, [REC, "frame"]).drop(REC))
 
 
@@ -137,21 +130,7 @@ def ltsa(spark: SparkSession, d: str) -> DataFrame:
 
 def beam_map(spark: SparkSession, d: str) -> DataFrame:
     """Delay-and-sum score of a stereo signal per azimuth, divided by the largest."""
-    import math
-
-    c = Settings()
-    steps = [(float(az), round(c.mic_spacing_m / 343.0 * math.sin(math.radians(az)) * c.rate)) for az in range(-90, 91, 5)]
-    w = wide(event_signal(spark, d, 2), 2)
-    mean = w.groupBy(REC).agg(F.avg("x0").alias("m0"), F.avg("x1").alias("m1"))
-    z = w.join(mean, REC).select(REC, "n", (F.col("x0") - F.col("m0")).alias("a"), (F.col("x1") - F.col("m1")).alias("b"))
-    den = z.groupBy(REC).agg((F.sqrt(F.sum(F.col("a") ** 2)) * F.sqrt(F.sum(F.col("b") ** 2)) + 1e-12).alias("den"))
-    shifts = sorted({s for _, s in steps})
-    right = z.select(REC, F.col("n").alias("k"), "b").withColumn("shift", F.explode(F.array(*map(F.lit, shifts)))).withColumn("n", F.col("k") + F.col("shift"))
-    dots = z.select(REC, "n", "a").join(right, [REC, "n"]).groupBy(REC, "shift").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    table_ = spark.createDataFrame(steps, "azimuth_deg double, shift int")
-    score = dots.join(den, REC).join(table_, "shift").withColumn("s", F.col("dot") / F.col("den"))
-    top = score.groupBy(REC).agg(F.max(F.abs("s")).alias("top"))
-    return rounded(score.join(top, REC).select("azimuth_deg", F.coalesce(F.when(F.col("top") > 0, F.col("s") / F.col("top")), F.col("s")).alias("score")))
+    return rounded(beam_scores(wide(event_signal(spark, d, 2), 2), Settings()).select("azimuth_deg", "score"))
 
 
 def calibration_check(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +202,7 @@ def clip_cut(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    frame_signal, frame_tail_rule, stft_dft, summarize, channel_summary, validity_flags, fractional_octave_range_join, schroeder_decay, decay_fit, loudness_gating, mel_spectrum, core_features, ltsa,
+    frame_signal, frame_tail_rule, stft_dft, summarize, channel_summary, validity_flags, fractional_octave_range_join, schroeder_decay, decay_fit, loudness_gating, mel_spectrum, core_features, feature_vectors, ltsa,
     beam_map, calibration_check, profile_multires, parse_filename_ts, kpi_score, ssm_cosine, checkerboard_kernel, foote_novelty, novelty_peaks, chunked_levels, clip_cut,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}

@@ -50,9 +50,11 @@ def append_history(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def frame_arrays(wide: DataFrame, metrics: list[str], folder: str | Path, channels: int = 1, replicate: bool = False) -> dict:
-    """The frame table of one recording as NumPy files: frames x features, and channels x frames x features, with a description."""
-    rows = wide.orderBy("timestamp_s").select("timestamp_s", *metrics).toPandas()
+def frame_arrays(wide: DataFrame, metrics: list[str], folder: str | Path, channels: int = 1, replicate: bool = False, most: int = 1_000_000) -> dict:
+    """The frame table of one recording, at most ``most`` frames, as NumPy files: frames x features, and channels x frames x features, with a description."""
+    rows = wide.orderBy("timestamp_s").select("timestamp_s", *metrics).limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} frames; write the table")
     values = rows[metrics].to_numpy(float)
     tensor = np.repeat(values[None], channels, 0) if replicate and channels > 1 else values[None]
     out = Path(folder)

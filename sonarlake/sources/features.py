@@ -1,9 +1,7 @@
-"""Feature vectors from files and to files; impulse responses and other formats where their libraries are there."""
+"""Feature vectors from files and to files."""
 
 from __future__ import annotations
 
-import shutil
-import subprocess
 from pathlib import Path
 
 import numpy as np
@@ -14,7 +12,7 @@ COLUMNS = "frame_idx long, time_s double, matrix array<double>, feature_names ar
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """frame_idx, time_s, matrix, feature_names of one file: .npz (times_s, matrix, feature_names), .npy (times are places), or .csv (time first).
+    """frame_idx, time_s, matrix, feature_names of one file: .npz (times_s, features, feature_names), .npy (times are places), or .csv (time first).
 
     CSV is read by the executors; the NumPy formats are files of one recording.
     """
@@ -28,7 +26,9 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
         return timed.select(F.monotonically_increasing_id().alias("frame_idx"), "time_s", "matrix", F.array(*map(F.lit, names)).alias("feature_names"))
     if suffix == ".npz":
         with np.load(path, allow_pickle=False) as z:
-            matrix, times, names = z["matrix"], z["times_s"], [str(n) for n in z["feature_names"]]
+            matrix = z["features"] if "features" in z else z["matrix"]
+            times = z["times_s"] if "times_s" in z else np.arange(len(matrix), dtype=float)
+            names = [str(n) for n in z["feature_names"]] if "feature_names" in z else [f"f{i:03d}" for i in range(matrix.shape[1])]
     elif suffix == ".npy":
         matrix = np.load(path)
         times, names = np.arange(len(matrix), dtype=float), [f"f{i:03d}" for i in range(matrix.shape[1])]
@@ -38,34 +38,16 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, COLUMNS)
 
 
-def save_vectors(vectors: DataFrame, path: str) -> None:
-    """The vectors of one recording as .npz, or of any number of them as a folder of CSV or parquet."""
+def save_vectors(vectors: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """The vectors of one recording, at most ``most``, as .npz, or of any number of them as a folder of CSV or parquet."""
     if path.endswith(".npz"):
-        rows = vectors.orderBy("frame_idx").toPandas()
-        np.savez(path, times_s=rows.time_s.to_numpy(), matrix=np.stack(rows.matrix).astype(np.float32) if len(rows) else np.empty((0, 0), np.float32), feature_names=np.array(rows.feature_names.iloc[0] if len(rows) else [], str))
+        rows = vectors.orderBy("frame_idx").limit(most + 1).toPandas()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} vectors; write a folder")
+        matrix = np.stack(rows.matrix).astype(np.float32) if len(rows) else np.empty((0, 0), np.float32)
+        np.savez(path, times_s=rows.time_s.to_numpy(), features=matrix, feature_names=np.array(rows.feature_names.iloc[0] if len(rows) else [], str))
     elif path.endswith(".csv"):
         names = vectors.first().feature_names
         vectors.select("time_s", *[F.col("matrix")[i].alias(n) for i, n in enumerate(names)]).write.mode("overwrite").option("header", True).csv(path)
     else:
         vectors.write.mode("overwrite").parquet(path)
-
-
-def read_impulse_file(path: str) -> tuple[np.ndarray, float]:
-    """Samples x receivers and the rate of an HDF5 file of impulse responses; needs h5py."""
-    import h5py
-
-    with h5py.File(path, "r") as f:
-        ir = np.asarray(f["Data.IR"], float)
-        rate = float(np.ravel(f["Data.SamplingRate"])[0]) if "Data.SamplingRate" in f else 48000.0
-    if ir.ndim not in (2, 3):
-        raise ValueError(f"impulse responses of rank {ir.ndim}")
-    return (ir[0] if ir.ndim == 3 else ir).T, rate
-
-
-def decode_with_ffmpeg(path: str, channels: int, rate: int) -> np.ndarray:
-    """Samples x channels of a compressed file; needs the ffmpeg program where it runs."""
-    if shutil.which("ffmpeg") is None:
-        raise RuntimeError("ffmpeg is not installed")
-    raw = subprocess.run(["ffmpeg", "-v", "error", "-i", path, "-f", "f32le", "-ac", str(channels), "-ar", str(rate), "-"], capture_output=True, check=True).stdout
-    x = np.frombuffer(raw, "<f4")
-    return x[: len(x) // channels * channels].reshape(-1, channels).astype(float)

@@ -22,6 +22,12 @@ class Settings:
     spl_offset: float = 94.0  # decibels between full scale and sound pressure level; 0 without calibration
     calibrated: bool = True
     mic_spacing_m: float = 0.2
+    tone_dbfs: float = -20.0  # nominal level of a calibration tone
+
+    @classmethod
+    def framed(cls, rate: int, frame: int, hop: int, **more) -> Settings:
+        """Settings whose transforms have the size and the hop of the frames."""
+        return cls(rate=rate, frame=frame, hop=hop, fft=frame, fft_hop=hop, **more)
 
 
 def scaled(value: Column) -> Column:

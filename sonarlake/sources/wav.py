@@ -1,17 +1,12 @@
-"""WAV files as signals, and clips as WAV files."""
+"""The WAV format: decoding, encoding, and clips as WAV files."""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from sonarlake.functions.dsp import resample
+from pyspark.sql import DataFrame
 
 
 def decode(data: bytes) -> tuple[np.ndarray, int]:
@@ -61,49 +56,6 @@ def encode(x: np.ndarray, rate: int, bits: int = 24) -> bytes:
     return head + body + b"\0" * (len(body) % 2)
 
 
-def wav_files(spark: SparkSession, folder: str, pattern: str = "*.wav", recursive: bool = True) -> DataFrame:
-    """path, length, content of the files of a folder, each once."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path", "length", "content").dropDuplicates(["path"])
-
-
-def wav_recordings(files: DataFrame) -> DataFrame:
-    """recording_id, sample_rate, channels, num_samples, duration_s, layout, error: one row per file; unreadable files have only an error."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, content in zip(b.path, b.content):
-                try:
-                    x, rate = decode(content)
-                    rows.append((path, rate, x.shape[1], x.shape[0], x.shape[0] / rate, None))
-                except (ValueError, struct.error) as e:
-                    rows.append((path, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["recording_id", "sample_rate", "channels", "num_samples", "duration_s", "error"]).astype({"sample_rate": "Int64", "channels": "Int64", "num_samples": "Int64"})
-
-    out = files.mapInPandas(read, "recording_id string, sample_rate long, channels long, num_samples long, duration_s double, error string")
-    hint = F.when(F.col("channels") == 1, "mono").when((F.col("channels") == 4) & F.lower("recording_id").rlike("ambi|bformat|ambisonic"), "ambisonic_b_format").when(F.col("channels") > 2, "multichannel").when(F.col("channels") == 2, "stereo")
-    return out.withColumn("layout", hint)
-
-
-def wav_signal(files: DataFrame, rate: int | None = None, step: int = 65_536) -> DataFrame:
-    """recording_id, channel, n, x of all readable files, resampled to ``rate`` if given. Rows leave the worker in pieces of ``step`` samples."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist()):
-                try:
-                    x, own = decode(content)
-                except (ValueError, struct.error):
-                    continue
-                for c in range(x.shape[1]):
-                    y = resample(x[:, c], own, rate) if rate else x[:, c]
-                    for i in range(0, len(y), step):
-                        part = y[i : i + step]
-                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(np.full(len(part), c, np.int32)), pa.array(np.arange(i, i + len(part))), pa.array(part)], ["recording_id", "channel", "n", "x"])
-
-    return files.mapInArrow(read, "recording_id string, channel int, n long, x double")
-
-
 def clip_files(samples: DataFrame, rate: int, bits: int = 24) -> DataFrame:
     """clip_id, wav: the samples of each clip (clip_id, channel, n, x) as a file. A clip is bounded by the window it was cut by."""
 

@@ -13,7 +13,10 @@ from sonarlake.functions.provenance import canonical, config_hash, documents, pi
 from sonarlake.operators import reports, rules
 from sonarlake.operators.similarity import band_similarity, novelty
 from sonarlake.sources.signals import Settings
-from sonarlake.sources.wav import clip_files, decode, encode, wav_files, wav_recordings, wav_signal
+from sonarlake.sources.recordings import audio_files as wav_files
+from sonarlake.sources.recordings import recordings as wav_recordings
+from sonarlake.sources.recordings import samples as wav_signal
+from sonarlake.sources.wav import clip_files, decode, encode
 from sonarlake.streaming.chunks import alert_rows, moments, run_available, windowed_means
 
 
