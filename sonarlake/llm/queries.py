@@ -54,6 +54,31 @@ def p2_by_recording(spark: SparkSession, d: str) -> DataFrame:
     return found.join(stored, keys, "left").select("*", F.col("s.p50").alias("stored_p50"), F.col("s.p95").alias("stored_p95")).drop("s")
 
 
+def p2_bounds_hold(spark: SparkSession, d: str) -> DataFrame:
+    """For every metric and percentile, whether the exact rank of the value given is within the bound that the sketch gives for it."""
+    values = _series(spark, d).where("value is not null and not isnan(value) and metric is not null")
+    made = percentiles(combine(sketches(_series(spark, d), ["metric", "captured_on"], "value"), ["metric"]), ["metric"], PS)
+    # a row per metric; the exact counts are summed before the exchange
+    told = values.select("metric", "value").join(made.withColumnRenamed("n", "told"), "metric")
+    counts = [f((F.col("value") < F.col("q")[i]).cast("long") if low else (F.col("value") <= F.col("q")[i]).cast("long")).alias(f"{'lt' if low else 'le'}{i}") for i in range(len(PS)) for low, f in ((True, F.sum), (False, F.sum))]
+    rows = told.groupBy("metric").agg(F.count("*").alias("n"), F.max("told").alias("told"), F.max("rank_error").alias("e"), *counts)
+    checks = [F.struct(F.lit(p).alias("p"), ((F.col(f"lt{i}") <= (p + F.col("e")) * F.col("n") + 1) & (F.col(f"le{i}") >= (p - F.col("e")) * F.col("n") - 1) & (F.col("told") == F.col("n"))).alias("within")) for i, p in enumerate(PS)]
+    return rows.select("metric", "n", F.explode(F.array(*checks)).alias("c")).select("metric", "n", "c.p", "c.within")
+
+
+def p7_assign(spark: SparkSession, d: str) -> DataFrame:
+    """The assignment itself: every piece of every document in a bin."""
+    return pack(table(spark, d, "documents"), table(spark, d, "containers"))
+
+
+def p7_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Of every kind: documents and tokens placed, and bins that hold more than they can (none)."""
+    capacity = table(spark, d, "containers").groupBy("container_id").agg(F.min("capacity_tokens").alias("capacity"))
+    bins = p7_assign(spark, d).groupBy("container_id", "bin_id").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("piece") == 0).alias("documents"))
+    whole = bins.join(capacity, "container_id").groupBy("container_id")
+    return whole.agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > F.col("capacity")).alias("overfull"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that a kind of container cannot take whole."""
     return pack(table(spark, d, "documents"), table(spark, d, "containers")).where("pieces > 1").select("container_id", "doc_id").distinct()
@@ -84,8 +109,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_by_metric, p2_by_day, p2_by_recording, p7_found, p7_fill, p8_found, p8_by_item, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_by_metric, p2_by_day, p2_by_recording, p2_bounds_hold, p7_found, p7_assign, p7_totals, p7_fill, p8_found, p8_by_item, p9_found)}
 
 SQL = {
+    "p2_bounds_hold": """
+WITH v AS (SELECT DISTINCT ON (reading_id) metric, value FROM metric_series WHERE value IS NOT NULL AND NOT isnan(value) AND metric IS NOT NULL)
+SELECT metric, count(*) AS n, p, true AS within FROM v, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]::DOUBLE[]) AS p) GROUP BY metric, p""",
+    "p7_totals": """
+WITH d AS (SELECT DISTINCT doc_id, strlen(text) AS size FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+SELECT container_id, count(*) AS documents, CAST(sum(size) AS BIGINT) AS tokens, 0 AS overfull FROM d, containers GROUP BY container_id""",
     "p7_found": "SELECT DISTINCT container_id, doc_id FROM documents, containers WHERE strlen(text) > capacity_tokens",
 }
