@@ -1,3 +1,3 @@
 """Spark-native signal analytics: metrics over sampled signals and the data-preparation operators around them."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sonarlake.functions import dsp
 from sonarlake.functions.levels import FLOOR, db, dot, leq, power_db, summary_columns, total, weighting_db
 from sonarlake.operators.frames import BLOCK, blocks, framed, frames_of_blocks, peaks_in_blocks, running_total, with_previous
+from sonarlake.operators.percentiles import exact_percentiles
 from sonarlake.plans.lineage import keep
 from sonarlake.sources.signals import Settings, wide
 
@@ -750,14 +751,25 @@ def shared(source: Source, tables: tuple[str, ...] = _SHARED) -> Source:
 
 
 def analyze(source: Source, wanted: list[str] | None = None) -> DataFrame:
-    """The summaries of several metrics in one table."""
-    names = metric_names(wanted)
-    source = shared(source) if len(names) > 1 else source
-    parts = [summary(source, name) for name in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The summaries of several metrics in one table.
+
+    What metrics share is computed once, the values of all metrics are one long table, and their percentiles come from one range sort of it, so that a long
+    recording is spread over many tasks.
+    """
+    names, known = metric_names(wanted), METRICS | _EXTRA
+    if len(names) == 1:
+        return summary(source, names[0])
+    source = shared(source)
+    values = None
+    for name in names:
+        part = known[name].compute(source).select(REC, F.lit(name).alias("metric"), F.col("v").cast("double").alias("v"))
+        values = part if values is None else values.unionByName(part)
+    held, keys = keep(values), [REC, "metric"]
+    ranks = exact_percentiles(held, keys, "v", (0.5, 0.95)).drop("n")
+    found = held.groupBy(*keys).agg(*summary_columns()[:5]).join(ranks, keys, "left")
+    of = lambda value: F.create_map(*[x for n in names for x in (F.lit(n), F.lit(value(known[n])))])[F.col("metric")]
+    confidence = F.when(F.col("n") == 0, of(lambda m: m.confidence if m.weak is None else m.weak)).otherwise(of(lambda m: m.confidence))
+    return found.select(REC, "metric", of(lambda m: m.units).alias("units"), confidence.alias("confidence"), "n", "mean", "std", "min", "max", "p50", "p95")
 
 
 _STFT = {n for n, m in METRICS.items() if m.category in ("Spectral", "Ecoacoustics", "Anomaly / Novelty")} | {"spl_a_db", "spl_c_db", "iacc", "ipd_rad", "itd_s"}

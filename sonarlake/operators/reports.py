@@ -74,6 +74,20 @@ def digest(recordings: DataFrame, results: DataFrame, metrics: list[str]) -> Dat
     return meta.join(named, "recording_id", "left")
 
 
+#: What a unit of each error costs of 100 points.
+PENALTIES = {"duration_error_ms": 1 / 20, "clipping_ratio": 1200.0, "centroid_delta_pct": 0.25, "flatness_delta_pct": 0.20, "transient_count_ratio": 18.0}
+
+
+def kpi_scores(errors: DataFrame) -> DataFrame:
+    """``errors`` with a score of 100 less penalties, at least 0. An error that is null or NaN costs nothing; of the ratio of transients the distance from 1 counts."""
+    cost = F.lit(0.0)
+    for name, weight in PENALTIES.items():
+        e = F.col(name).cast("double")
+        e = 1.0 - e if name == "transient_count_ratio" else e
+        cost = cost + F.when(e.isNotNull() & ~F.isnan(e), F.abs(e)).otherwise(0.0) * weight
+    return errors.withColumn("score", F.greatest(F.lit(0.0), 100 - cost))
+
+
 def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Keys that have no result yet."""
     return wanted.select(key).distinct().join(done.select(key), key, "left_anti")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from math import exp
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonarlake.functions.levels import dot, total
@@ -35,16 +37,42 @@ def kernel(half: int, scale: float = 0.5) -> list[tuple[int, int, float]]:
     return [(u, v, sign(u, v) * exp(-(u * u + v * v) / (2 * sigma * sigma))) for u in range(-half, half + 1) for v in range(-half, half + 1)]
 
 
-def novelty(spark: SparkSession, vectors: DataFrame, frames: int, size: int = 32) -> DataFrame:
-    """frame, novelty: the kernel along the diagonal, negative values and the borders 0, divided by the largest."""
-    half = min(max(2, size // 2), max(1, (frames - 1) // 2))
-    weights = spark.createDataFrame(kernel(half), "u int, v int, w double").where("w <> 0")
-    pairs = band_similarity(vectors, 2 * half)
-    # every pair counts for the frames within ``half`` of both of its places
-    at = pairs.withColumn("frame", F.explode(F.sequence(F.greatest("i", "j") - half, F.least("i", "j") + half)))
-    at = at.where((F.col("frame") >= half) & (F.col("frame") < frames - half)).withColumn("u", (F.col("i") - F.col("frame")).cast("int")).withColumn("v", (F.col("j") - F.col("frame")).cast("int"))
-    # the kernel has (2 half + 1) squared rows, a parameter
-    raw = at.join(F.broadcast(weights), ["u", "v"]).groupBy("frame").agg(F.greatest(F.sum(F.col("sim") * F.col("w")), F.lit(0.0)).alias("r"))
-    top = raw.groupBy(F.lit(0).alias("all")).agg(F.max("r").alias("top"))
-    every = vectors.select(F.col("i").alias("frame"), F.lit(0).alias("all")).join(raw, "frame", "left")
-    return every.join(F.broadcast(top), "all", "left").select("frame", F.coalesce(F.when(F.col("top") > 0, F.col("r") / F.col("top")), F.lit(0.0)).alias("novelty"))
+def novelty_by(vectors: DataFrame, keys: list[str], size: int = 32, block: int = 4096) -> DataFrame:
+    """keys, frame, novelty: per recording the kernel along the diagonal, negative values and the borders 0, divided by the recording's largest.
+
+    ``vectors``: keys, i (consecutive numbers from 0 within a recording), v. Vectors are cut into blocks that are shown as many of their neighbours as the kernel
+    reaches, so that each vector leaves its place about once and no task gets a whole long recording. ``size`` is that of the kernel; a recording too short for it gets a smaller one.
+    """
+    reach = max(2, size // 2)
+    counts = vectors.groupBy(*keys).agg((F.max("i") + 1).alias("__n"))
+    own, at = F.floor(F.col("i") / block), F.pmod("i", F.lit(block))
+    places = F.filter(F.array(own, F.when(at < reach, own - 1), F.when(at >= block - reach, own + 1)), lambda b: b.isNotNull() & (b >= 0))
+    shown = vectors.select(*keys, F.col("i").cast("long").alias("i"), F.col("v").cast("array<double>").alias("v")).withColumn("__b", F.explode(places)).join(counts, keys)
+    kinds = ", ".join(f"`{n}` {t}" for n, t in shown.select(*keys).dtypes)
+
+    def score(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("i")
+        number, n, i = int(g["__b"].iloc[0]), int(g["__n"].iloc[0]), g.i.to_numpy()
+        half = min(reach, max(1, (n - 1) // 2))
+        x = np.stack(g.v.to_numpy())
+        x = x - x.mean(1, keepdims=True)
+        u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
+        w = np.zeros((2 * half + 1, 2 * half + 1))
+        for a, b, value in kernel(half):
+            w[a + half, b + half] = value
+        mine = np.flatnonzero((i // block == number))
+        out = np.zeros(len(mine))
+        inside = np.flatnonzero((i[mine] >= half) & (i[mine] < n - half))
+        for part in np.array_split(inside, max(1, len(inside) // 256)):
+            around = u[mine[part][:, None] + np.arange(-half, half + 1)]
+            out[part] = np.maximum((np.clip(around @ around.transpose(0, 2, 1), 0, 1) * w).sum((1, 2)), 0)
+        return g.iloc[mine][keys].assign(frame=i[mine], raw=out)
+
+    raw = shown.groupBy(*keys, "__b").applyInPandas(score, f"{kinds}{', ' if keys else ''}frame long, raw double")
+    top = raw.groupBy(*keys).agg(F.max("raw").alias("top"))
+    return raw.join(top, keys).select(*keys, "frame", F.when(F.col("top") > 0, F.col("raw") / F.col("top")).otherwise(0.0).alias("novelty"))
+
+
+def novelty(vectors: DataFrame, size: int = 32) -> DataFrame:
+    """frame, novelty of the vectors of one recording."""
+    return novelty_by(vectors.select(F.lit(0).alias("of"), "i", "v"), ["of"], size).drop("of")

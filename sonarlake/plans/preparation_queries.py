@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonarlake.functions.levels import rounded
 from sonarlake.operators.drift import changes, field, unify, version_changes
 from sonarlake.operators.grid import regular_grid
 from sonarlake.operators.intervals import moment_periods
@@ -25,6 +26,12 @@ def p3_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid(table(spark, d, "frame_table"), table(spark, d, "recordings"), (*GRID_METRICS, "zero_crossing_rate"))
 
 
+def p3_observed(spark: SparkSession, d: str) -> DataFrame:
+    """Slots that hold readings: their mean, which filling does not touch."""
+    grid = regular_grid(table(spark, d, "frame_table"), table(spark, d, "recordings"), GRID_METRICS).where("state = 'observed'")
+    return rounded(grid.select("recording_id", "metric", "slot", "value", "readings"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Continuous periods and the gaps between them."""
     return moment_periods(table(spark, d, "moments"), table(spark, d, "moments_config")).distinct()
@@ -68,7 +75,7 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
 def p6_readable(spark: SparkSession, d: str) -> DataFrame:
     """Of every document, whether it is readable and how many fields of it are in the unified table: none is lost."""
     rows, _ = unify(table(spark, d, "result_docs"))
-    return rows.select("result_id", "producer", "readable", F.when(F.col("readable"), F.size("fields")).cast("long").alias("n_fields"))
+    return rows.select("result_id", "producer", "readable", F.when(F.col("readable"), F.size("fields")).otherwise(0).cast("long").alias("n_fields"))
 
 
 def p6_versions(spark: SparkSession, d: str) -> DataFrame:
@@ -76,14 +83,21 @@ def p6_versions(spark: SparkSession, d: str) -> DataFrame:
     return version_changes(table(spark, d, "result_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_grid, p4_found, p5_found, p5_certain, p5_by_kind, p6_found, p6_table, p6_readable, p6_versions)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_grid, p3_observed, p4_found, p5_found, p5_certain, p5_by_kind, p6_found, p6_table, p6_readable, p6_versions)}
 
 SQL = {
+    "p3_observed": """
+WITH steps AS (SELECT recording_id, min(grid_step_s) AS step FROM recordings WHERE grid_step_s > 0 GROUP BY recording_id),
+long AS (
+  SELECT recording_id, 'rms_dbfs' AS metric, timestamp_s AS ts, rms_dbfs AS x FROM frame_table
+  UNION SELECT recording_id, 'spectral_centroid_hz', timestamp_s, spectral_centroid_hz FROM frame_table)
+SELECT recording_id, metric, CAST(floor(ts / step) AS BIGINT) AS slot, round(avg(x), 6) + 0e0 AS value, count(*) AS readings FROM long JOIN steps USING (recording_id)
+WHERE ts IS NOT NULL AND NOT isnan(ts) AND x IS NOT NULL AND NOT isnan(x) GROUP BY 1, 2, 3""",
     "p6_readable": """
 WITH docs AS (SELECT DISTINCT ON (result_id) result_id, producer, payload, CASE WHEN payload IS NOT NULL AND json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END AS readable FROM result_docs),
 leaves AS (SELECT d.result_id, count(*) AS n FROM (SELECT result_id, CASE WHEN readable THEN payload ELSE '{}' END AS payload FROM docs) d, json_tree(d.payload) t
   WHERE t.fullkey <> '$' AND t.fullkey NOT LIKE '%[%' AND t.path <> '$.metrics' AND t.path NOT LIKE '$.metrics.%' AND (t.type <> 'OBJECT' OR t.fullkey = '$.metrics') GROUP BY d.result_id)
-SELECT result_id, producer, coalesce(readable, false) AS readable, CASE WHEN readable THEN coalesce(n, 0) END AS n_fields FROM docs LEFT JOIN leaves USING (result_id)""",
+SELECT result_id, producer, coalesce(readable, false) AS readable, CASE WHEN readable THEN coalesce(n, 0) ELSE 0 END AS n_fields FROM docs LEFT JOIN leaves USING (result_id)""",
     "p5_certain": """
 WITH limits AS (SELECT metric, min(valid_min) AS low, max(valid_max) AS high FROM metric_catalog WHERE monitored GROUP BY metric),
 r AS (SELECT DISTINCT ON (reading_id) reading_id, recording_id, metric, timestamp_s AS ts, value, low, high FROM metric_series JOIN limits USING (metric)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sonarlake.functions import dsp
 from sonarlake.functions.levels import db, rounded, settled, settled_sql, summary_columns, total
-from sonarlake.operators import quality, rules, vectors
+from sonarlake.operators import quality, reports, rules, vectors
 from sonarlake.operators.frames import blocks, framed, frames_of_blocks, peaks_in_blocks
 from sonarlake.operators.metrics import METRICS, REC, Source, chunked, name_time
 from sonarlake.operators.percentiles import exact_percentiles
@@ -143,7 +143,7 @@ def profile_multires(spark: SparkSession, d: str) -> DataFrame:
     """Mean level under three sizes of frames."""
     parts = []
     for name, size, hop in (("short", 256, 128), ("middle", 1024, 256), ("long", 4096, 2048)):
-        s = Source(lambda c: event_signal(spark, d, c), lambda: event_signal(spark, d), Settings(frame=size, hop=hop))
+        s = Source(lambda c: event_signal(spark, d, c or 1), lambda: event_signal(spark, d), Settings(frame=size, hop=hop))
         parts.append(METRICS["rms_dbfs"].compute(s).groupBy(F.lit(name).alias("profile"), F.lit(size).alias("frame_size")).agg(F.count("*").alias("frames"), F.avg("v").alias("rms_dbfs")))
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
@@ -155,10 +155,19 @@ def parse_filename_ts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kpi_score(spark: SparkSession, d: str) -> DataFrame:
-    """Score of a variant by its errors, 100 less penalties; the errors are made of orders."""
-    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice").cast("double") / 1e4).alias("duration_error_ms"), (F.pmod("o_orderkey", F.lit(7)) / 1000.0).alias("clipping_ratio"), (F.pmod("o_orderkey", F.lit(31)) - 15.0).alias("centroid_delta_pct"))
-    penalty = F.abs("duration_error_ms") / 20 + F.col("clipping_ratio") * 1200 + F.abs("centroid_delta_pct") * 0.25
-    return rounded(o.select("o_orderkey", F.greatest(F.lit(0.0), 100 - penalty).alias("score")), 9)
+    """Score of every recording against the first of its project, by differences of length and of what is stored of clipping, centroid, and novelty as transients."""
+    r = table(spark, d, "recordings").where("project is not null and duration_s is not null").groupBy("recording_id", "project").agg(F.max("duration_s").alias("duration"))
+    stored = table(spark, d, "metric_results").select("recording_id", "name", F.col("summary.mean").alias("m")).where("m is not null and not isnan(m)")
+    part = lambda name: F.max(F.when(F.col("name") == name, F.col("m")))
+    means = stored.groupBy("recording_id").agg(part("clipping_event_count").alias("clips"), part("spectral_centroid_hz").alias("centroid"), part("zero_crossing_rate").alias("crossings"), part("novelty_curve").alias("novelty"))
+    every = r.join(means, "recording_id", "left")
+    base = every.groupBy("project").agg(F.min_by(F.struct("duration", "centroid", "crossings", "novelty"), "recording_id").alias("b"))
+    change = lambda c: F.when(F.col(f"b.{c}") != 0, 100 * (F.col(c) - F.col(f"b.{c}")) / F.col(f"b.{c}"))
+    errors = every.join(base, "project").select(
+        "recording_id", "project", (1000 * (F.col("duration") - F.col("b.duration"))).alias("duration_error_ms"), (F.col("clips") / (F.col("duration") * 48000)).alias("clipping_ratio"), change("centroid").alias("centroid_delta_pct"),
+        change("crossings").alias("flatness_delta_pct"), F.when(F.col("b.novelty") != 0, F.col("novelty") / F.col("b.novelty")).alias("transient_count_ratio"),
+    )
+    return rounded(reports.kpi_scores(errors).select("recording_id", "project", "score"), 6)
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -177,8 +186,7 @@ def checkerboard_kernel(spark: SparkSession, d: str) -> DataFrame:
 
 def foote_novelty(spark: SparkSession, d: str) -> DataFrame:
     """Novelty along the vectors under a kernel of half width 8."""
-    v = _vectors(spark, d)
-    return rounded(novelty(spark, v, v.count(), 16))
+    return rounded(novelty(_vectors(spark, d), 16))
 
 
 def novelty_peaks(spark: SparkSession, d: str) -> DataFrame:
@@ -258,6 +266,17 @@ SELECT 'events' AS recording_id, c AS clipping, o AS dc_offset_excessive, seen A
     "core_features": f"""WITH {m.SHAPES}, w AS (SELECT frame, n, x, lag(x) OVER (PARTITION BY frame ORDER BY n) AS b FROM ss JOIN mono ON n >= start AND n < start + 64),
 td AS (SELECT frame, sqrt(avg(x * x)) AS rms_linear, avg(CASE WHEN b IS NULL THEN NULL WHEN (x < 0) <> (b < 0) THEN 1e0 ELSE 0 END) AS zcr_ratio FROM w GROUP BY frame)
 SELECT frame, {_r("centroid", "bandwidth", "flatness", "rolloff", "rms_linear", "zcr_ratio")}, round(flux2, 6) + 0e0 AS flux FROM shapes JOIN td USING (frame)""",
+    "feature_vectors": f"""WITH {m.SPECTRUM}, {_mel_sql()}, raw AS (SELECT frame, k, f, m - 1e-12 AS m FROM mag),
+ml AS (SELECT frame, mel, ln(1 + greatest(sum(m * m * w), 1e-12)) AS value FROM raw JOIN bank USING (k) GROUP BY 1, 2),
+c0 AS (SELECT frame, sum(f * m) / (sum(m) + 1e-12) AS c, avg(m) AS am FROM raw GROUP BY 1),
+sh AS (SELECT frame, any_value(c) AS spectral_centroid_hz, sqrt(sum(m * (f - c) * (f - c)) / (sum(m) + 1e-12)) AS spectral_bandwidth_hz, exp(avg(ln(greatest(m, 1e-12)))) / (any_value(am) + 1e-12) AS spectral_flatness FROM raw JOIN c0 USING (frame) GROUP BY 1),
+cu AS (SELECT frame, f, sum(m * m) OVER (PARTITION BY frame ORDER BY k) AS c, sum(m * m) OVER (PARTITION BY frame) AS t FROM raw), ro AS (SELECT frame, min(f) AS spectral_rolloff_hz FROM cu WHERE c >= 0.85e0 * t GROUP BY 1),
+fx AS (SELECT frame, sqrt(sum(d * d)) AS spectral_flux FROM step GROUP BY 1),
+w AS (SELECT frame, n, x, lag(x) OVER (PARTITION BY frame ORDER BY n) AS b FROM ss JOIN mono ON n >= start AND n < start + 64),
+td AS (SELECT frame, sqrt(avg(x * x)) AS rms_linear, avg(CASE WHEN b IS NULL THEN NULL WHEN (x < 0) <> (b < 0) THEN 1e0 ELSE 0 END) AS zcr_ratio FROM w GROUP BY 1),
+al AS (SELECT * FROM sh JOIN ro USING (frame) JOIN fx USING (frame) JOIN td USING (frame))
+SELECT frame AS frame_idx, 'log_mel_' || lpad(mel::VARCHAR, 3, '0') AS feature, round(value, 5) + 0e0 AS value FROM ml
+UNION ALL SELECT frame, feature, round(value, 5) + 0e0 FROM (UNPIVOT al ON spectral_centroid_hz, spectral_bandwidth_hz, spectral_flatness, spectral_rolloff_hz, spectral_flux, rms_linear, zcr_ratio INTO NAME feature VALUE value)""",
     "ltsa": f"WITH {m.SPECTRUM} SELECT frame // 50 AS stretch, k AS bin, round(avg(10 * log10(greatest(m * m, 1e-24))), 6) + 0e0 AS level FROM mag GROUP BY 1, 2",
     "beam_map": f"""WITH {m.STEREO}, z AS (SELECT n, a - avg(a) OVER () AS a, b - avg(b) OVER () AS b FROM st), dn AS (SELECT sqrt(sum(a * a)) * sqrt(sum(b * b)) + 1e-12 AS den FROM z),
 az AS (SELECT az::DOUBLE AS azimuth_deg, CAST(round(2e-1 / 343 * sin(radians(az)) * 8e3) AS BIGINT) AS shift FROM (SELECT unnest(range(-90, 91, 5)) AS az)),
@@ -266,7 +285,13 @@ SELECT azimuth_deg, round(CASE WHEN max(abs(s)) OVER () > 0 THEN s / max(abs(s))
     "calibration_check": f"WITH one AS (SELECT {m._X} AS x FROM events WHERE event_id % 2 = 1), v AS (SELECT {m._DB.format('sqrt(avg(x * x))')} + 20 AS v FROM one) SELECT 'events' AS recording_id, round(v, 6) + 0e0 AS drift_db, round(v - 20 + 94, 6) AS spl_db, abs(v) <= 1 AS within FROM v",
     "profile_multires": " UNION ALL ".join(_profile(*p) for p in (("short", 256, 128), ("middle", 1024, 256), ("long", 4096, 2048))),
     "parse_filename_ts": "SELECT DISTINCT recording_id, recording_id || '_' || strftime(recorded_at, '%Y%m%d_%H%M%S') || '.wav' AS name, epoch_us(date_trunc('second', recorded_at)) AS start_us FROM recordings",
-    "kpi_score": "SELECT o_orderkey, round(greatest(0, 100 - (abs(o_totalprice::DOUBLE / 1e4) / 20 + o_orderkey % 7 / 1e3 * 1200 + abs(o_orderkey % 31 - 15e0) * 25e-2)), 9) + 0e0 AS score FROM orders",
+    "kpi_score": """WITH r AS (SELECT recording_id, project, max(duration_s) AS duration FROM recordings WHERE project IS NOT NULL AND duration_s IS NOT NULL GROUP BY 1, 2),
+st AS (SELECT recording_id, name, summary.mean AS m FROM metric_results WHERE summary.mean IS NOT NULL AND NOT isnan(summary.mean)),
+mn AS (SELECT recording_id, max(m) FILTER (name = 'clipping_event_count') AS clips, max(m) FILTER (name = 'spectral_centroid_hz') AS centroid, max(m) FILTER (name = 'zero_crossing_rate') AS crossings, max(m) FILTER (name = 'novelty_curve') AS novelty FROM st GROUP BY 1),
+ev AS (SELECT * FROM r LEFT JOIN mn USING (recording_id)), fb AS (SELECT project, min(recording_id) AS recording_id FROM ev GROUP BY 1),
+bs AS (SELECT e.project, e.duration AS d, e.centroid AS c, e.crossings AS x, e.novelty AS v FROM ev e JOIN fb USING (project, recording_id))
+SELECT recording_id, project, round(greatest(0, 100 - (coalesce(abs(1000 * (duration - d)), 0) / 20 + coalesce(abs(clips / (duration * 48000)), 0) * 1200 + CASE WHEN c <> 0 THEN coalesce(abs(100 * (centroid - c) / c), 0) ELSE 0 END * 0.25e0
+  + CASE WHEN x <> 0 THEN coalesce(abs(100 * (crossings - x) / x), 0) ELSE 0 END * 0.2e0 + CASE WHEN v <> 0 THEN coalesce(abs(1 - novelty / v), 0) ELSE 0 END * 18)), 6) + 0e0 AS score FROM ev JOIN bs USING (project)""",
     "ssm_cosine": f"WITH {_sim(BAND)} SELECT i, j, round(sim, 6) + 0e0 AS sim FROM sm",
     "checkerboard_kernel": f"WITH {_KERNEL} SELECT CAST(u AS INT) AS u, CAST(v AS INT) AS v, round(w, 6) + 0e0 AS w FROM kn",
     "foote_novelty": f"""WITH {_sim(16)}, {_KERNEL}, nf AS (SELECT count(*) AS c FROM embeddings),

@@ -20,7 +20,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 def streamed_alerts(spark: SparkSession, d: str) -> DataFrame:
     """Hourly means of each type of event that break a limit, by a stream with a watermark."""
-    rows = run_available(alert_rows(windowed_means(_events(spark, d), 3600), LOW, HIGH), "complete")
+    rows = alert_rows(run_available(windowed_means(_events(spark, d), 3600), ["source", "start"]), LOW, HIGH)
     return rounded(rows.select("source", F.unix_micros("start").alias("start_us"), "value", "condition", "threshold"))
 
 

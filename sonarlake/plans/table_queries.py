@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonarlake.functions.levels import rounded, settled, settled_sql
 from sonarlake.operators import reports, rules
+from sonarlake.sources import recordings
 from sonarlake.sources.tables import table
 
 CHUNK_S = 10.0
@@ -151,8 +152,7 @@ def clip_vector(spark: SparkSession, d: str) -> DataFrame:
 def layout_hint(spark: SparkSession, d: str) -> DataFrame:
     """The layout of channels that a recording's number of channels and path suggest."""
     rows = table(spark, d, "recordings").select("recording_id", "channels", "format").distinct()
-    hint = F.when(F.col("channels") == 1, "mono").when((F.col("channels") == 4) & F.lower("recording_id").rlike("ambi|bformat|ambisonic|4$"), "ambisonic_b_format").when(F.col("channels") > 2, "multichannel").otherwise("stereo")
-    return rows.select("recording_id", "channels", hint.alias("layout")).distinct()
+    return rows.select("recording_id", "channels", recordings.layout_hint(F.col("channels"), F.col("recording_id")).alias("layout")).distinct()
 
 
 def session_moments(spark: SparkSession, d: str) -> DataFrame:
@@ -225,7 +225,7 @@ CASE WHEN abs(baseline_value) > 1e-12 THEN round(100 * (value - baseline_value)
     "frame_table_wide": f"WITH {_WIDE} SELECT * FROM fw",
     "impute_col_mean": f"WITH {_WIDE} SELECT recording_id, timestamp_s, " + ", ".join(f"{settled_sql(f'coalesce({m}, avg({m}) OVER (PARTITION BY recording_id), 0)')} AS {m}" for m in FRAME_METRICS) + " FROM fw",
     "clip_vector": "SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY name) - 1 AS INT) AS position, name, CASE WHEN NOT isnan(summary.mean) THEN round(summary.mean, 6) + 0e0 END AS value FROM metric_results",
-    "layout_hint": "SELECT DISTINCT recording_id, channels, CASE WHEN channels = 1 THEN 'mono' WHEN channels = 4 AND regexp_matches(lower(recording_id), 'ambi|bformat|ambisonic|4$') THEN 'ambisonic_b_format' WHEN channels > 2 THEN 'multichannel' ELSE 'stereo' END AS layout FROM recordings",
+    "layout_hint": "SELECT DISTINCT recording_id, channels, CASE WHEN channels = 1 THEN 'mono' WHEN channels = 4 AND regexp_matches(lower(recording_id), 'ambi|bformat|ambisonic') THEN 'ambisonic_b_format' WHEN channels > 2 THEN 'multichannel' WHEN channels = 2 THEN 'stereo' END AS layout FROM recordings",
     "session_moments": """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS b FROM events),
 k AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
 SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS events, round(max(value), 6) AS top FROM k GROUP BY user_id, s""",

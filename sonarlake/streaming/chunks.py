@@ -68,14 +68,21 @@ def moments(events: DataFrame, gap_s: float, late: str = "10 minutes") -> DataFr
     )
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now, into a table in the shared folder, and reads that table."""
+def run_available(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there now, into a table in the shared folder, and reads that table.
+
+    Without ``keys`` rows are appended once they are final. With ``keys`` every batch appends the rows that it changed, numbered, and the last of each key is
+    read: the state of windows that the watermark has passed is freed, and what a batch writes does not grow with what came before.
+    """
     spark: SparkSession = stream.sparkSession
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-    sink = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
+    sink = stream.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    if not keys:
         sink.format("parquet").option("path", f"{base}/rows").start().awaitTermination()
-    else:
-        sink.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/rows")).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+        return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    # a batch that is run again after a failure writes its own folder anew
+    sink.foreachBatch(lambda df, n: df.withColumn("__batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{base}/rows/batch={n}")).start().awaitTermination()
+    rows = spark.read.schema(stream.schema.add("__batch", "long")).option("basePath", f"{base}/rows").parquet(f"{base}/rows/batch=*")
+    others = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "__batch").alias("r")).select(*keys, "r.*").select(*stream.columns)

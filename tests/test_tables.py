@@ -81,7 +81,7 @@ def test_novelty_between_two_sections(spark):
     r = np.random.default_rng(1)
     a, b = r.normal(size=8), r.normal(size=8)
     v = spark.createDataFrame([(i, [float(x) for x in (a if i < 30 else b) + r.normal(0, 0.05, 8)]) for i in range(60)], "i long, v array<double>")
-    rows = {x.frame: x.novelty for x in novelty(spark, v, 60, 16).collect()}
+    rows = {x.frame: x.novelty for x in novelty(v, 16).collect()}
     assert len(rows) == 60 and max(rows, key=rows.get) in (29, 30) and rows[0] == 0
     assert band_similarity(v, 3).count() == 60 * 7 - 12
 
@@ -106,7 +106,7 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = [("a", t0 + dt.timedelta(seconds=i), float(i % 50)) for i in range(300)] + [("a", t0, math.nan), ("b", t0, None)]
     s = _stream(spark, tmp_path, rows)
     want = sorted(map(tuple, alert_rows(windowed_means(spark.createDataFrame(rows, "source string, ts timestamp, value double"), 20), 12.0, 35.0).collect()))
-    got = sorted(map(tuple, run_available(alert_rows(windowed_means(s, 20), 12.0, 35.0), "complete").collect()))
+    got = sorted(map(tuple, alert_rows(run_available(windowed_means(s, 20), ["source", "start"]), 12.0, 35.0).collect()))
     assert got == want and want
 
 
