@@ -17,6 +17,14 @@ def feature_names(mels: int) -> list[str]:
     return [f"log_mel_{i:03d}" for i in range(mels)] + list(SHAPE)
 
 
+def concatenated(sets: list[DataFrame]) -> DataFrame:
+    """Vectors of several sets under each other; columns that a set lacks are null. Names of positions stay with every vector."""
+    out = sets[0]
+    for s in sets[1:]:
+        out = out.unionByName(s, allowMissingColumns=True)
+    return out
+
+
 def feature_vectors(s: Source, mels: int = 64) -> DataFrame:
     """recording_id, frame_idx, time_s (middle of the frame), matrix, feature_names: ``mels`` log-mel energies and seven values of shape per frame of the mean channel.
 

@@ -128,6 +128,20 @@ def ltsa(spark: SparkSession, d: str) -> DataFrame:
     return rounded(b.groupBy(F.floor(F.col("frame") / 50).alias("stretch"), "bin").agg(F.avg(10 * F.log10(F.greatest("p", F.lit(1e-24)))).alias("level")))
 
 
+def log_frequency(spark: SparkSession, d: str) -> DataFrame:
+    """Level of every frame in bands of equal width on a logarithmic scale, eight to the octave, from 62.5 Hz."""
+    b = event_source(spark, d).bins.where("f > 0").withColumn("band", F.floor(8 * F.log2(F.col("f") / 62.5) + 1e-9))
+    return rounded(b.groupBy("frame", "band").agg((10 * F.log10(F.greatest(F.avg("p"), F.lit(1e-24)))).alias("level")))
+
+
+def waterfall(spark: SparkSession, d: str) -> DataFrame:
+    """Every tenth spectrum in decibels below the strongest bin of all."""
+    b = event_source(spark, d).bins
+    top = b.agg(F.max("p").alias("top"))  # one row
+    kept = b.where(F.col("frame") % 10 == 0).crossJoin(F.broadcast(top))
+    return rounded(kept.select("frame", "bin", (10 * F.log10(F.greatest(F.col("p") / F.col("top"), F.lit(1e-12)))).alias("level")))
+
+
 def beam_map(spark: SparkSession, d: str) -> DataFrame:
     """Delay-and-sum score of a stereo signal per azimuth, divided by the largest."""
     return rounded(beam_scores(wide(event_signal(spark, d, 2), 2), Settings()).select("azimuth_deg", "score"))
@@ -210,7 +224,7 @@ def clip_cut(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    frame_signal, frame_tail_rule, stft_dft, summarize, channel_summary, validity_flags, fractional_octave_range_join, schroeder_decay, decay_fit, loudness_gating, mel_spectrum, core_features, feature_vectors, ltsa,
+    frame_signal, frame_tail_rule, stft_dft, summarize, channel_summary, validity_flags, fractional_octave_range_join, schroeder_decay, decay_fit, loudness_gating, mel_spectrum, core_features, feature_vectors, ltsa, log_frequency, waterfall,
     beam_map, calibration_check, profile_multires, parse_filename_ts, kpi_score, ssm_cosine, checkerboard_kernel, foote_novelty, novelty_peaks, chunked_levels, clip_cut,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -278,6 +292,8 @@ al AS (SELECT * FROM sh JOIN ro USING (frame) JOIN fx USING (frame) JOIN td USIN
 SELECT frame AS frame_idx, 'log_mel_' || lpad(mel::VARCHAR, 3, '0') AS feature, round(value, 5) + 0e0 AS value FROM ml
 UNION ALL SELECT frame, feature, round(value, 5) + 0e0 FROM (UNPIVOT al ON spectral_centroid_hz, spectral_bandwidth_hz, spectral_flatness, spectral_rolloff_hz, spectral_flux, rms_linear, zcr_ratio INTO NAME feature VALUE value)""",
     "ltsa": f"WITH {m.SPECTRUM} SELECT frame // 50 AS stretch, k AS bin, round(avg(10 * log10(greatest(m * m, 1e-24))), 6) + 0e0 AS level FROM mag GROUP BY 1, 2",
+    "log_frequency": f"WITH {m.SPECTRUM} SELECT frame, CAST(floor(8 * log2(f / 62.5e0) + 1e-9) AS BIGINT) AS band, round(10 * log10(greatest(avg(m * m), 1e-24)), 6) + 0e0 AS level FROM mag WHERE f > 0 GROUP BY 1, 2",
+    "waterfall": f"WITH {m.SPECTRUM} SELECT frame, k AS bin, round(10 * log10(greatest(m * m / (SELECT max(m * m) FROM mag), 1e-12)), 6) + 0e0 AS level FROM mag WHERE frame % 10 = 0",
     "beam_map": f"""WITH {m.STEREO}, z AS (SELECT n, a - avg(a) OVER () AS a, b - avg(b) OVER () AS b FROM st), dn AS (SELECT sqrt(sum(a * a)) * sqrt(sum(b * b)) + 1e-12 AS den FROM z),
 az AS (SELECT az::DOUBLE AS azimuth_deg, CAST(round(2e-1 / 343 * sin(radians(az)) * 8e3) AS BIGINT) AS shift FROM (SELECT unnest(range(-90, 91, 5)) AS az)),
 dt AS (SELECT shift, sum(p.a * q.b) AS d FROM (SELECT DISTINCT shift FROM az), z p, z q WHERE p.n = q.n + shift GROUP BY shift), sc AS (SELECT azimuth_deg, d / den AS s FROM az JOIN dt USING (shift), dn)

@@ -18,8 +18,9 @@ from sonarlake.operators.vectors import feature_vectors
 from sonarlake.plans.lineage import keep
 from sonarlake.plans.pipeline import folder_source
 from sonarlake.sources.exports import write_documents, write_table
+from sonarlake.sources.fetch import fetch
 from sonarlake.sources.recordings import audio_files, recordings, samples
-from sonarlake.sources.settings import threshold_rules
+from sonarlake.sources.settings import profiles, threshold_rules
 from sonarlake.sources.signals import Settings
 from sonarlake.sources.storage import exists, read_json, write_text
 from sonarlake.sources.wav import clip_files
@@ -277,9 +278,33 @@ def vectors_folder(spark: SparkSession, folder: str, settings: Settings, mels: i
     return feature_vectors(folder_source(audio_files(spark, folder), settings), mels)
 
 
+def profiles_folder(spark: SparkSession, folder: str, out: str, settings: Settings, config: dict) -> DataFrame:
+    """Analyses a folder under every profile of ``config``, each into a folder of its name; the index: profile, recordings, frame_size, hop_size, sample_rate, results."""
+    rows = []
+    for name, s, wanted in profiles(settings, config):
+        s = replace(s, fft=s.frame, fft_hop=s.hop)
+        made = analyze_folder(spark, folder, f"{out}/{name}", s, wanted or None, False)
+        rows.append((name, made["recordings"], s.frame, s.hop, s.rate, f"{out}/{name}/results"))
+    index = spark.createDataFrame(rows, "profile string, recordings long, frame_size int, hop_size int, sample_rate int, results string")
+    write_table(index, f"{out}/index", "csv")
+    return index
+
+
+def ingest_urls(spark: SparkSession, urls: list[str], out: str, headers: dict[str, str] | None = None) -> DataFrame:
+    """Fetches addresses into a table of files under ``out`` and gives its manifest; decoding reads the table as it reads a folder."""
+    write_table(fetch(spark.createDataFrame([(u,) for u in urls], "url string"), headers=headers), f"{out}/files")
+    files = spark.read.parquet(f"{out}/files")
+    manifest = _manifest(files.where("content is not null").select("path", "length", "content"), "url")
+    lost = files.where("content is null").select("path", F.lit("url").alias("source"), *[F.lit(None).cast(t).alias(n) for n, t in manifest.dtypes[2:-1]], "error")
+    return manifest.unionByName(lost)
+
+
 def ingest_manifest(spark: SparkSession, folder: str, source: str = "local") -> DataFrame:
     """path, source, bytes, sha256, sample_rate, channels, duration_s, error of the files of a folder: what came in, told apart by content."""
-    files = audio_files(spark, folder)
+    return _manifest(audio_files(spark, folder), source)
+
+
+def _manifest(files: DataFrame, source: str) -> DataFrame:
     hashed = files.select(F.col("path").alias(REC), F.lit(source).alias("source"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     return hashed.join(recordings(files), REC).select(F.col(REC).alias("path"), "source", "bytes", "sha256", "sample_rate", "channels", "duration_s", "error")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,53 @@ def alert_rows(means: DataFrame, low: float | None, high: float | None) -> DataF
     return means.withColumn("a", F.explode(F.filter(hits, lambda x: x.isNotNull()))).select("source", "start", F.col("mean").alias("value"), "a.condition", "a.threshold")
 
 
+def metric_means(readings: DataFrame, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """source, metric, start, mean, n over tumbling windows of event time. ``readings``: source, metric, ts, value."""
+    good = readings.where("value is not null and not isnan(value)").withWatermark("ts", late)
+    means = good.groupBy("source", "metric", F.window("ts", f"{seconds} seconds")).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    return means.select("source", "metric", F.col("window.start").alias("start"), "mean", "n")
+
+
+def rule_alerts(means: DataFrame, rules: DataFrame) -> DataFrame:
+    """source, metric, start, value, condition, threshold: every rule (metric, min, max) that a mean breaks; works on streams too, the rules being a table at rest."""
+    v = F.col("mean")
+    hits = F.array(
+        F.when(below(v, F.col("min")), F.struct(F.lit("min").alias("condition"), F.col("min").alias("threshold"))),
+        F.when(above(v, F.col("max")), F.struct(F.lit("max").alias("condition"), F.col("max").alias("threshold"))),
+    )
+    hit = means.join(rules, "metric").withColumn("a", F.explode(F.filter(hits, lambda x: x.isNotNull())))
+    return hit.select("source", "metric", "start", F.col("mean").alias("value"), "a.condition", "a.threshold")
+
+
+LEVELS = "source string, first long, n long, energy double, peak double, crossings long"
+
+
+def chunk_levels(chunks: DataFrame) -> DataFrame:
+    """source, first, n, energy, peak, crossings of every chunk of samples of a stream, with what must be carried from chunk to chunk.
+
+    ``chunks``: source, first (number of the first sample), x (array). The state of a source is its last sample, so that a change of sign between two chunks is counted
+    once; chunks of one source must arrive in order, one that does not begin where the last ended starts anew. Chunks of one batch are put in order first; a null sample counts as 0.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        place, last = state.get if state.exists else (None, 0.0)
+        out = []
+        for first, x in sorted(((int(f), v) for b in batches for f, v in zip(b["first"], b.x)), key=lambda r: r[0]):
+            y = np.nan_to_num(np.asarray(x, float))
+            if not len(y):
+                continue
+            joined = np.r_[last, y] if place == first else y
+            sign = joined < 0
+            out.append((key[0], first, len(y), float((y * y).sum()), float(np.abs(y).max()), int((sign[1:] != sign[:-1]).sum())))
+            place, last = first + len(y), float(y[-1])
+        if place is not None:
+            state.update((place, last))
+        yield pd.DataFrame(out, columns=["source", "first", "n", "energy", "peak", "crossings"])
+
+    held = chunks.select(F.col("source").cast("string").alias("source"), F.col("first").cast("long").alias("first"), F.col("x").cast("array<double>").alias("x"))
+    return held.groupBy("source").applyInPandasWithState(step, LEVELS, "place long, last double", "append", GroupStateTimeout.NoTimeout)
+
+
 def moments(events: DataFrame, gap_s: float, late: str = "10 minutes") -> DataFrame:
     """source, start_s, end_s, events: runs of events whose pauses are at most ``gap_s``, each given out once the watermark has passed it.
 

@@ -120,3 +120,15 @@ def test_stream_of_moments(spark, tmp_path):
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = sorted((r.end_s - r.start_s, r.events) for r in run_available(moments(s, 10.0, "1 hour")).collect())
     assert got == [(3.0, 2), (8.0, 3)]
+
+
+def test_state_goes_from_chunk_to_chunk(spark, tmp_path):
+    from sonarlake.streaming.chunks import chunk_levels
+
+    x = np.random.default_rng(5).normal(size=1000)
+    for i in range(0, 1000, 250):
+        spark.createDataFrame([("r", i, x[i : i + 250].tolist()), ("s", i, [1.0, -1.0])], "source string, first long, x array<double>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("source string, first long, x array<double>").parquet(str(tmp_path / "in"))
+    rows = run_available(chunk_levels(s)).where("source = 'r'").collect()
+    assert sum(r.n for r in rows) == 1000 and abs(sum(r.energy for r in rows) - (x * x).sum()) < 1e-9
+    assert sum(r.crossings for r in rows) == int(((x[1:] < 0) != (x[:-1] < 0)).sum())

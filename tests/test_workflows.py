@@ -205,3 +205,16 @@ def test_kinds_of_files(spark, tmp_path):
     assert rows["a.caf"].channels == 2 and rows["b.flac"].error
     hints = spark.createDataFrame([(1, "a"), (2, "a"), (4, "x_AmbiX"), (4, "a"), (4, "1204$"), (6, "ambisonic")], "c int, n string").select(layout_hint(F.col("c"), F.col("n"))).collect()
     assert [r[0] for r in hints] == ["mono", "stereo", "ambisonic_b_format", "multichannel", "multichannel", "multichannel"]
+
+
+def test_addresses(spark, tmp_path):
+    folder = put(tmp_path / "x", "a.wav", tone(440, 0.2, 8000), rate=8000)
+    got = {r.path.rsplit("/", 1)[1]: r for r in w.ingest_urls(spark, [f"file://{folder}/a.wav", f"file://{folder}/a.wav", f"file://{folder}/none.wav"], str(tmp_path / "o")).collect()}
+    assert got["a.wav"].channels == 1 and len(got["a.wav"].sha256) == 64 and got["none.wav"].error and len(got) == 2
+
+
+def test_profiles(spark, tmp_path):
+    folder = put(tmp_path / "x", "a.wav", tone(440, 0.2, 8000), rate=8000)
+    index = w.profiles_folder(spark, folder, str(tmp_path / "o"), Settings(rate=8000), {"profiles": [{"name": "fast", "frame_size": 256, "hop_size": 128, "metrics": ["rms_dbfs", "dc_offset"]}, {"name": "slow", "frame_size": 2048, "hop_size": 1024, "metrics": ["rms_dbfs", "dc_offset"]}]})
+    n = {r.profile: spark.read.parquet(r.results).where("metric = 'rms_dbfs'").first().n for r in index.collect()}
+    assert n == {"fast": 62, "slow": 7}
