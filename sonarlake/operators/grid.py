@@ -14,6 +14,7 @@ from sonarlake.plans.lineage import group_bounds, whole_groups
 
 BLOCK_SLOTS = 64
 BLOCK_SOURCES = 256
+RUN_BLOCKS = 4096  # blocks that a row is unfolded to at once
 
 
 def slot_of(ts: str, step: str):
@@ -67,7 +68,10 @@ def regular_grid(frames: DataFrame, recordings: DataFrame, metrics: Sequence[str
     cells = once.groupBy("recording_id", "metric", "slot", "step").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
     spans = cells.groupBy("recording_id", "metric", "step").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
     block = lambda c: F.floor(F.col(c) / BLOCK_SLOTS)
-    spread = spans.withColumn("block", F.explode(F.sequence(block("lo"), block("hi")))).select(
+    # in two steps, so that no row holds the blocks of a whole long span
+    run = lambda c: F.floor(block(c) / RUN_BLOCKS)
+    runs = spans.withColumn("run", F.explode(F.sequence(run("lo"), run("hi"))))
+    spread = runs.withColumn("block", F.explode(F.sequence(F.greatest(block("lo"), F.col("run") * RUN_BLOCKS), F.least(block("hi"), F.col("run") * RUN_BLOCKS + RUN_BLOCKS - 1)))).select(
         "recording_id", "metric", "step", "block", F.lit(None).cast("long").alias("slot"), "lo", "hi", F.lit(None).cast("double").alias("x"), F.lit(0).cast("long").alias("n")
     )
     held = cells.select("recording_id", "metric", "step", block("slot").alias("block"), "slot", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), "x", "n")

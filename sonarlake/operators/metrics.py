@@ -86,6 +86,16 @@ class Source:
         per = self.of_blocks("every", s.frame, s.hop, compute, "p double, peak double, a double", True)
         return per.groupBy(REC, "frame").agg(F.avg("p").alias("power"), F.max("peak").alias("peak"), F.avg("a").alias("mean_abs"), F.avg(F.sqrt("p")).alias("rms_mean"))
 
+    @cached_property
+    def level_ranks(self) -> DataFrame:
+        """Per recording: percentiles of the level of its frames."""
+        return _ranks(_level(self), (0.1, 0.9))
+
+    @cached_property
+    def spl_ranks(self) -> DataFrame:
+        """Per recording: percentiles of the sound pressure level of its frames."""
+        return _ranks(_spl(self), (0.05, 0.1, 0.5, 0.9))
+
     @cached_property
     def spectra(self) -> DataFrame:
         """Per frame: mag (array over bins), flux (rises), flux2 (length of the difference), change (sum of absolute differences)."""
@@ -304,6 +314,12 @@ def _recording() -> Column:
     return F.regexp_replace(F.col(REC), _BY + "[0-9]+$", "")
 
 
+def _ranks(values: DataFrame, ps: tuple[float, ...]) -> DataFrame:
+    """Exact percentiles of v for every recording of ``values``, null where it has no finite one; a long recording is spread over many tasks."""
+    every = values.groupBy(REC).agg(F.lit(1).alias("one")).drop("one")
+    return every.join(exact_percentiles(values, [REC], "v", ps), REC, "left")
+
+
 def _level(s: Source) -> DataFrame:
     return s.levels.select(REC, "frame", db(F.sqrt("power")).alias("v"))
 
@@ -312,8 +328,8 @@ def _spl(s: Source) -> DataFrame:
     return s.levels.select(REC, "frame", (db(F.col("rms_mean")) + s.settings.spl_offset).alias("v"))
 
 
-def _exceeded(percent: float) -> Callable[[Source], DataFrame]:
-    return lambda s: _spl(s).groupBy(REC).agg(F.percentile("v", F.lit((100 - percent) / 100)).alias("v"))
+def _exceeded(percent: int) -> Callable[[Source], DataFrame]:
+    return lambda s: s.spl_ranks.select(REC, F.col(f"p{100 - percent:02d}").alias("v"))
 
 
 def _exposure(levels: DataFrame, s: Source) -> DataFrame:
@@ -322,7 +338,7 @@ def _exposure(levels: DataFrame, s: Source) -> DataFrame:
 
 
 def _snr(s: Source) -> DataFrame:
-    return _level(s).groupBy(REC).agg((F.percentile("v", F.lit(0.9)) - F.percentile("v", F.lit(0.1))).alias("v"))
+    return s.level_ranks.select(REC, (F.col("p90") - F.col("p10")).alias("v"))
 
 
 def _shape(column: str) -> Callable[[Source], DataFrame]:
@@ -489,7 +505,7 @@ def _ratio_db(early: str, floor: float = 1e-20) -> Column:
 
 def _sti(s: Source) -> DataFrame:
     c50 = s.energies.select(REC, _ratio_db("e50", FLOOR).alias("c50"))
-    snr = _level(Source(lambda _: s.impulse(), s.impulse, s.settings)).groupBy(REC).agg((F.percentile("v", F.lit(0.9)) - F.percentile("v", F.lit(0.1))).alias("snr"))
+    snr = _snr(Source(lambda _: s.impulse(), s.impulse, s.settings)).withColumnRenamed("v", "snr")
     rt = s.fit(-5, -35).select(REC, F.coalesce("v", F.lit(1.0)).alias("rt"))
     v = 1 / (1 + F.exp(-(F.col("c50") - 2) / 2)) / (1 + F.exp(-(F.col("snr") - 6) / 4)) * F.exp(-F.greatest(F.col("rt") - 0.6, F.lit(0.0)) / 1.8)
     return c50.join(snr, REC).join(rt, REC).select(REC, F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)).alias("v"))
@@ -525,8 +541,7 @@ def _gated(blocks_: DataFrame) -> DataFrame:
 
 def _loudness_range(s: Source) -> DataFrame:
     b = s.loudness(3.0)
-    x = F.when(F.col("v") > -70, F.col("v"))
-    return b.groupBy(REC).agg(F.coalesce(F.percentile(x, F.lit(0.95)) - F.percentile(x, F.lit(0.1)), F.lit(0.0)).alias("v"))
+    return _ranks(b.withColumn("v", F.when(F.col("v") > -70, F.col("v"))), (0.1, 0.95)).select(REC, F.coalesce(F.col("p95") - F.col("p10"), F.lit(0.0)).alias("v"))
 
 
 def _true_peak(s: Source) -> DataFrame:
@@ -731,7 +746,7 @@ def summary(source: Source, name: str) -> DataFrame:
 
 
 #: Tables of a source that several metrics are made of, each a row per frame or less.
-_SHARED = ("levels", "shapes", "mean_bins", "slots", "quality", "pairs", "neighbours", "stereo", "lengths", "energies")
+_SHARED = ("levels", "level_ranks", "spl_ranks", "shapes", "mean_bins", "slots", "quality", "pairs", "neighbours", "stereo", "lengths", "energies")
 
 
 def shared(source: Source, tables: tuple[str, ...] = _SHARED) -> Source:
@@ -744,7 +759,7 @@ def shared(source: Source, tables: tuple[str, ...] = _SHARED) -> Source:
         def __getattribute__(self, name: str):
             held = object.__getattribute__(self, "__dict__")
             if name in tables and name not in held:
-                held[name] = keep(getattr(source, name))
+                held[name] = keep(getattr(Source, name).func(self))  # from other tables that are kept, where it is made of them
             return object.__getattribute__(self, name)
 
     return Kept(source.signal, source.impulse, source.settings, source.file_name, source.tone, source.packer, source.lateral_channels)
