@@ -296,6 +296,39 @@ class Source:
         sums = self.packed("every", 0, 0).select(REC, "x").mapInArrow(count, f"{REC} string, n long, c long, s double, f long, p double").groupBy(_recording().alias(REC))
         return sums.agg((F.sum("c") / F.sum("n")).alias("clipping_ratio"), (F.sum("s") / F.sum("f")).alias("dc_offset"), (F.sum("f") / F.sum("n")).alias("finite"), F.max("p").alias("peak"))
 
+    @cached_property
+    def octaves(self) -> DataFrame:
+        return self.bands(1)
+
+    @cached_property
+    def thirds(self) -> DataFrame:
+        return self.bands(3)
+
+    @cached_property
+    def level_a(self) -> DataFrame:
+        return self.weighted("A")
+
+    @cached_property
+    def level_c(self) -> DataFrame:
+        return self.weighted("C")
+
+    @cached_property
+    def b_format(self) -> DataFrame:
+        """Per recording with four channels: products of the first with the others, and energy."""
+        found = wide(self.signal(4), 4).groupBy(REC).agg(*[F.avg(F.col("x0") * F.col(f"x{i}")).alias(f"i{i}") for i in (1, 2, 3)], F.avg(sum((F.col(f"x{i}") ** 2 for i in range(4)), F.lit(0.0))).alias("e"))
+        return self.lengths.select(REC).join(found, REC, "left")
+
+    @cached_property
+    def lateral(self) -> DataFrame:
+        """Per recording: energy between 5 and 80 ms, that of all channels but the first (null without any), and their mean correlation with the first."""
+        n0, n1 = round(0.005 * self.settings.rate), round(0.08 * self.settings.rate)
+        early = self.signal(self.lateral_channels).where((F.col("n") >= n0) & (F.col("n") < n1))
+        first = early.where("channel = 0").select(REC, "n", F.col("x").alias("x0"))
+        # rows are the samples of 75 ms
+        m = early.join(first, [REC, "n"]).groupBy(REC, "channel").agg(*[F.avg(e).alias(k) for k, e in {"a": F.col("x0"), "b": F.col("x"), "aa": F.col("x0") ** 2, "bb": F.col("x") ** 2, "ab": F.col("x0") * F.col("x")}.items()], F.sum(F.col("x") ** 2).alias("e"))
+        side = F.col("channel") > 0
+        return m.withColumn("r", F.abs(_correlation())).groupBy(REC).agg(F.sum("e").alias("e"), F.sum(F.when(side, F.col("e"))).alias("side"), F.avg(F.when(side, F.col("r"))).alias("r"))
+
     @cached_property
     def silence(self) -> DataFrame:
         """Per recording: shares of frames that are dropped out or silent."""
@@ -427,12 +460,12 @@ def _entropy(s: Source) -> DataFrame:
 
 def _trends(s: Source) -> DataFrame:
     t = (F.col("frame") * s.settings.fft_hop + s.settings.fft / 2) / s.settings.rate
-    fits = s.bands(1).withColumn("t", t).groupBy(REC, "band").agg(F.regr_slope("level", "t").alias("slope"), F.stddev_pop("level").alias("sd"))
+    fits = s.octaves.withColumn("t", t).groupBy(REC, "band").agg(F.regr_slope("level", "t").alias("slope"), F.stddev_pop("level").alias("sd"))
     return fits.select(REC, F.col("band").alias("frame"), F.when(F.col("sd") > FLOOR, F.col("slope")).otherwise(0.0).alias("v"))
 
 
 def _band_levels(fraction: int) -> Callable[[Source], DataFrame]:
-    return lambda s: s.bands(fraction).groupBy(REC, F.col("band").alias("frame")).agg(leq(F.col("level")).alias("v"))
+    return lambda s: (s.octaves if fraction == 1 else s.thirds).groupBy(REC, F.col("band").alias("frame")).agg(leq(F.col("level")).alias("v"))
 
 
 def _correlation() -> Column:
@@ -467,13 +500,12 @@ def _doa(s: Source) -> DataFrame:
 
 def _ambisonic(part: str) -> Callable[[Source], DataFrame]:
     def make(s: Source) -> DataFrame:
-        m = wide(s.signal(4), 4).groupBy(REC).agg(*[F.avg(F.col("x0") * F.col(f"x{i}")).alias(f"i{i}") for i in (1, 2, 3)], F.avg(sum((F.col(f"x{i}") ** 2 for i in range(4)), F.lit(0.0))).alias("e"))
         flat = F.sqrt(F.col("i1") ** 2 + F.col("i2") ** 2)
         v = {
             "diffuseness": F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.sqrt(F.col("i1") ** 2 + F.col("i2") ** 2 + F.col("i3") ** 2) / (F.col("e") + FLOOR))),
             "azimuth": F.degrees(F.atan2("i2", "i1")), "elevation": F.degrees(F.atan2(F.col("i3"), flat + FLOOR)),
         }[part]
-        return s.signal(4).groupBy(REC).agg(F.lit(1).alias("one")).join(m.select(REC, v.alias("v")), REC, "left").select(REC, "v")
+        return s.b_format.select(REC, F.when(F.col("e").isNotNull(), v).alias("v"))
 
     return make
 
@@ -482,15 +514,8 @@ def _lateral(correlated: bool) -> Callable[[Source], DataFrame]:
     """Energy of all channels but the first between 5 and 80 ms, as a share; null for a single channel."""
 
     def make(s: Source) -> DataFrame:
-        n0, n1 = round(0.005 * s.settings.rate), round(0.08 * s.settings.rate)
-        early = s.signal(s.lateral_channels).where((F.col("n") >= n0) & (F.col("n") < n1))
-        first = early.where("channel = 0").select(REC, "n", F.col("x").alias("x0"))
-        # rows are the samples of 75 ms
-        m = early.join(first, [REC, "n"]).groupBy(REC, "channel").agg(*[F.avg(e).alias(k) for k, e in {"a": F.col("x0"), "b": F.col("x"), "aa": F.col("x0") ** 2, "bb": F.col("x") ** 2, "ab": F.col("x0") * F.col("x")}.items()], F.sum(F.col("x") ** 2).alias("e"))
-        m = m.withColumn("r", F.abs(_correlation()))
-        both = m.groupBy(REC).agg(F.sum("e").alias("e"), F.sum(F.when(F.col("channel") > 0, F.col("e"))).alias("side"), F.avg(F.when(F.col("channel") > 0, F.col("r"))).alias("r"))
         lf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("side") / (F.col("e") + FLOOR)))
-        return both.select(REC, F.when(F.col("side").isNotNull(), lf * F.col("r") if correlated else lf).alias("v"))
+        return s.lateral.select(REC, F.when(F.col("side").isNotNull(), lf * F.col("r") if correlated else lf).alias("v"))
 
     return make
 
@@ -626,8 +651,8 @@ METRICS: dict[str, Metric] = {
         Metric("peak_dbfs", "Basic", "dBFS", lambda s: s.levels.select(REC, "frame", db(F.col("peak")).alias("v"))),
         Metric("crest_factor_db", _LEVEL, "dB", lambda s: s.levels.select(REC, "frame", db(F.greatest("peak", F.lit(FLOOR)) / F.greatest(F.sqrt("power"), F.lit(FLOOR))).alias("v"))),
         Metric("spl_z_db", _LEVEL, "dB", _spl, calibrated=True),
-        Metric("spl_a_db", _LEVEL, "dBA", lambda s: s.weighted("A"), streaming=False, calibrated=True),
-        Metric("spl_c_db", _LEVEL, "dBC", lambda s: s.weighted("C"), streaming=False, calibrated=True),
+        Metric("spl_a_db", _LEVEL, "dBA", lambda s: s.level_a, streaming=False, calibrated=True),
+        Metric("spl_c_db", _LEVEL, "dBC", lambda s: s.level_c, streaming=False, calibrated=True),
         Metric("snr_db", "Noise & SNR", "dB", _snr, 0.8),
         Metric("spectral_centroid_hz", _SPEC, "Hz", _shape("centroid")),
         Metric("spectral_bandwidth_hz", _SPEC, "Hz", _shape("bandwidth")),
@@ -650,7 +675,7 @@ METRICS: dict[str, Metric] = {
         Metric("lpeak_dbfs", _LEVEL, "dBFS", lambda s: s.quality.select(REC, db(F.col("peak")).alias("v"))),
         *[Metric(f"l{p}_db", _LEVEL, "dB", _exceeded(p), calibrated=True) for p in (10, 50, 90, 95)],
         Metric("sel_db", _LEVEL, "dB", lambda s: _exposure(_spl(s), s), calibrated=True),
-        Metric("lae_db", _LEVEL, "dBA", lambda s: _exposure(s.weighted("A"), s), calibrated=True),
+        Metric("lae_db", _LEVEL, "dBA", lambda s: _exposure(s.level_a, s), calibrated=True),
         Metric("integrated_lufs", _LEVEL, "LUFS", lambda s: _gated(s.loudness(0.4)), 0.85, False),
         Metric("short_term_lufs", _LEVEL, "LUFS", lambda s: s.loudness(3.0), 0.85, False),
         Metric("momentary_lufs", _LEVEL, "LUFS", lambda s: s.loudness(0.4), 0.85, False),
@@ -746,7 +771,7 @@ def summary(source: Source, name: str) -> DataFrame:
 
 
 #: Tables of a source that several metrics are made of, each a row per frame or less.
-_SHARED = ("levels", "level_ranks", "spl_ranks", "shapes", "mean_bins", "slots", "quality", "pairs", "neighbours", "stereo", "lengths", "energies")
+_SHARED = ("two", "tail", "octaves", "thirds", "level_a", "level_c", "b_format", "lateral", "levels", "level_ranks", "spl_ranks", "shapes", "mean_bins", "slots", "quality", "pairs", "neighbours", "stereo", "lengths", "energies")
 
 
 def shared(source: Source, tables: tuple[str, ...] = _SHARED) -> Source:

@@ -218,3 +218,15 @@ def test_profiles(spark, tmp_path):
     index = w.profiles_folder(spark, folder, str(tmp_path / "o"), Settings(rate=8000), {"profiles": [{"name": "fast", "frame_size": 256, "hop_size": 128, "metrics": ["rms_dbfs", "dc_offset"]}, {"name": "slow", "frame_size": 2048, "hop_size": 1024, "metrics": ["rms_dbfs", "dc_offset"]}]})
     n = {r.profile: spark.read.parquet(r.results).where("metric = 'rms_dbfs'").first().n for r in index.collect()}
     assert n == {"fast": 62, "slow": 7}
+
+
+def test_a_file_is_read_a_few_times(spark, tmp_path, monkeypatch):
+    from sonarlake.operators import metrics as m
+
+    source = m.shared(folder_source(audio_files(spark, put(tmp_path / "x", "a.wav", tone(440, 0.2, 8000), tone(440, 0.2, 8000), rate=8000)), Settings.framed(8000, 512, 256)))
+    reads = []
+    count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [path")
+    keep = m.keep
+    monkeypatch.setattr(m, "keep", lambda df: reads.append(count(df)) or keep(df))
+    own = [count(metric.compute(source)) for name, metric in m.METRICS.items() if name not in ("sti_proxy", "bass_ratio")]
+    assert sum(own) + sum(reads) <= 60  # of 72 metrics; with nothing shared it is several hundred
