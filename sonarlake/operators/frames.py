@@ -74,6 +74,12 @@ def blocks(signal: DataFrame, columns: list[str], before: int, after: int, block
     return out.select("recording_id", "block", "length", F.col("s")[0]["n"].alias("first"), *[F.col("s")[c].alias(c) for c in columns])
 
 
+def rows_of(matrix: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    n, m = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * m + 1, max(m, 1), dtype=np.int32)[: n + 1] if m else np.zeros(n + 1, np.int32)), pa.array(np.ascontiguousarray(matrix, np.float64).ravel()))
+
+
 def frames_of_blocks(packed: DataFrame, columns: list[str], size: int, hop: int, compute: Callable[[int, list[np.ndarray]], dict[str, np.ndarray]], schema: str, tail: bool, back: int = 0, block: int = BLOCK, short: bool = False) -> DataFrame:
     """Runs ``compute(rows of frames per column)`` over the frames that start in each block: recording_id, frame and what it returns.
 
@@ -103,7 +109,7 @@ def frames_of_blocks(packed: DataFrame, columns: list[str], size: int, hop: int,
                     rows += [np.lib.stride_tricks.sliding_window_view(x, size)[earlier] for x in xs]
                 made = compute(rows)
                 arrays = [pa.array([b["recording_id"][i].as_py()] * len(frame)), pa.array(frame.astype(np.int64))]
-                arrays += [pa.array(list(v)) if v.ndim > 1 else pa.array(v.astype(np.float64)) for v in made.values()]
+                arrays += [rows_of(v) if v.ndim > 1 else pa.array(v.astype(np.float64)) for v in made.values()]
                 yield pa.RecordBatch.from_arrays(arrays, ["recording_id", "frame", *made])
 
     return packed.mapInArrow(run, f"recording_id string, frame long, {schema}")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarlake.functions import dsp
-from sonarlake.functions.levels import FLOOR, db, dot, leq, power_db, summary_columns, total, weighting_db
+from sonarlake.functions.levels import FLOOR, db, dot, leq, power_db, summary_columns, weighting_db
 from sonarlake.operators.frames import BLOCK, blocks, framed, frames_of_blocks, peaks_in_blocks, running_total, with_previous
 from sonarlake.operators.percentiles import exact_percentiles
 from sonarlake.plans.lineage import keep
@@ -96,46 +96,41 @@ class Source:
         """Per recording: percentiles of the sound pressure level of its frames."""
         return _ranks(_spl(self), (0.05, 0.1, 0.5, 0.9))
 
-    @cached_property
-    def spectra(self) -> DataFrame:
-        """Per frame: mag (array over bins), flux (rises), flux2 (length of the difference), change (sum of absolute differences)."""
-        s = self.settings
+    def _of_spectra(self, compute: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+        """What ``compute`` tells from the magnitudes of frames and of the frames before them (the first frame has itself before it)."""
+        w = dsp.hann(self.settings.fft)
 
-        def compute(rows: list[np.ndarray]) -> dict[str, np.ndarray]:
-            w = dsp.hann(s.fft)
-            mag, old = (np.abs(np.fft.rfft(r * w, axis=1)) / w.sum() + 1e-12 for r in rows)
-            d = mag - old
-            return {"mag": mag, "flux": np.maximum(d, 0).sum(1), "flux2": np.sqrt((d * d).sum(1)), "change": np.abs(d).sum(1)}
+        def run(rows: list[np.ndarray]) -> dict[str, np.ndarray]:
+            return compute(*(np.abs(np.fft.rfft(r * w, axis=1)) / w.sum() + 1e-12 for r in rows))
 
-        return self.of_blocks("mono", s.fft, s.fft_hop, compute, "mag array<double>, flux double, flux2 double, change double", False, s.fft_hop, True)
+        return self.of_blocks("mono", self.settings.fft, self.settings.fft_hop, run, schema, False, self.settings.fft_hop, True)
 
-    @property
-    def freqs(self) -> Column:
-        s = self.settings
-        return F.array(*[F.lit(k * s.rate / s.fft) for k in range(s.fft // 2 + 1)])
+    @cached_property
+    def spectra(self) -> DataFrame:
+        """Per frame: mag (array over bins)."""
+        return self._of_spectra(lambda mag, _: {"mag": mag}, "mag array<double>")
 
     @cached_property
     def shapes(self) -> DataFrame:
-        """Per frame: centroid, bandwidth, flatness, rolloff and novelty."""
-        s = self.settings
-        step, n = s.rate / s.fft, s.fft // 2 + 1
-        den = total(F.col("mag")) + FLOOR
-        base = self.spectra.withColumn("centroid", dot(F.col("mag"), self.freqs) / den)
-        spread = total(F.zip_with("mag", self.freqs, lambda m, f: m * (f - F.col("centroid")) * (f - F.col("centroid"))))
-        power = total(F.col("mag"), lambda m: m * m)
-        start = F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("k"), F.lit(-1).alias("at"))
-        reach = F.aggregate(
-            F.col("mag"), start,
-            lambda a, m: F.struct((a["c"] + m * m).alias("c"), (a["k"] + 1).alias("k"), F.when((a["at"] < 0) & (F.round(a["c"] + m * m, 12) >= F.round(0.85 * power, 12)), a["k"]).otherwise(a["at"]).alias("at")),
-        )
-        return base.select(
-            REC, "frame", "centroid", F.sqrt(spread / den).alias("bandwidth"), (F.exp(total(F.col("mag"), F.ln) / n) / (total(F.col("mag")) / n + FLOOR)).alias("flatness"),
-            (reach["at"] * step).alias("rolloff"), F.col("flux").alias("novelty"), "flux2", "change", total(F.col("mag")).alias("whole"), self.band_sum(2000.0, 8000.0).alias("bio"),
-        )
-
-    def band_sum(self, low: float, high: float) -> Column:
-        """Sum of magnitudes between two frequencies."""
-        return total(F.zip_with("mag", self.freqs, lambda m, f: F.when((f >= low) & (f <= high), m).otherwise(0.0)))
+        """Per frame: centroid, bandwidth, flatness, rolloff, novelty (rises), flux2 (length of the difference), change (sum of absolute differences), whole (sum of magnitudes) and
+        bio (of those from 2 to 8 kHz)."""
+        step = self.settings.rate / self.settings.fft
+        freqs = np.arange(self.settings.fft // 2 + 1) * step
+        middle = (freqs >= 2000.0) & (freqs <= 8000.0)
+
+        def compute(mag: np.ndarray, old: np.ndarray) -> dict[str, np.ndarray]:
+            d, whole = mag - old, mag.sum(1)
+            den = whole + FLOOR
+            centroid = mag @ freqs / den
+            upto = np.cumsum(mag * mag, axis=1)
+            # rounded, since sums in another order differ in their last places
+            reached = np.round(upto, 12) >= np.round(0.85 * upto[:, -1:], 12)
+            return {
+                "centroid": centroid, "bandwidth": np.sqrt((mag * (freqs - centroid[:, None]) ** 2).sum(1) / den), "flatness": np.exp(np.log(mag).mean(1)) / (mag.mean(1) + FLOOR), "rolloff": np.argmax(reached, axis=1) * step,
+                "novelty": np.maximum(d, 0).sum(1), "flux2": np.sqrt((d * d).sum(1)), "change": np.abs(d).sum(1), "whole": whole, "bio": mag[:, middle].sum(1),
+            }
+
+        return self._of_spectra(compute, "centroid double, bandwidth double, flatness double, rolloff double, novelty double, flux2 double, change double, whole double, bio double")
 
     @cached_property
     def bins(self) -> DataFrame:

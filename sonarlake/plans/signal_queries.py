@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sonarlake.functions import dsp
 from sonarlake.functions.levels import db, rounded, settled, settled_sql, summary_columns, total
 from sonarlake.operators import quality, reports, rules, vectors
-from sonarlake.operators.frames import blocks, framed, frames_of_blocks, peaks_in_blocks
+from sonarlake.operators.frames import framed, peaks_in_blocks
 from sonarlake.operators.metrics import METRICS, REC, Source, chunked, name_time
 from sonarlake.operators.percentiles import exact_percentiles
 from sonarlake.operators.similarity import band_similarity, kernel, novelty
