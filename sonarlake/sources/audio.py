@@ -6,7 +6,6 @@ import os
 import shutil
 import struct
 import subprocess
-import tempfile
 
 import numpy as np
 
@@ -94,29 +93,26 @@ def decode_impulses(data: bytes) -> tuple[np.ndarray, int]:
     return (ir[0] if ir.ndim == 3 else ir).T, int(rate)
 
 
-def probe(path: str) -> tuple[int, int]:
+def _program(command: list[str], data: bytes) -> bytes:
+    """What a program on the worker says to the bytes of a file; a ValueError where it is not installed or fails."""
+    if shutil.which(command[0]) is None:
+        raise ValueError(f"{command[0]} is not installed")
+    done = subprocess.run(command, input=data, capture_output=True, check=False)
+    if done.returncode:
+        raise ValueError(done.stderr.decode("utf-8", "replace")[-200:] or f"{command[0]} failed")
+    return done.stdout
+
+
+def probe(data: bytes) -> tuple[int, int]:
     """Channels and rate of the first audio stream of a file, as the probing program tells them."""
-    if shutil.which("ffprobe") is None:
-        raise ValueError("ffprobe is not installed")
-    said = subprocess.run(["ffprobe", "-v", "error", "-select_streams", "a:0", "-show_entries", "stream=channels,sample_rate", "-of", "csv=p=0", path], capture_output=True, check=True, text=True).stdout
-    rate, channels = (int(v) for v in said.strip().split(",")[:2])
-    return channels, rate
-
-
-def decode_foreign(data: bytes, suffix: str) -> tuple[np.ndarray, int]:
-    """Samples x channels and the rate of a compressed file, by a program on the worker; a ValueError where there is none."""
-    if shutil.which("ffmpeg") is None:
-        raise ValueError("ffmpeg is not installed")
-    with tempfile.NamedTemporaryFile(suffix=suffix, delete=False) as f:  # the program seeks in its input
-        f.write(data)
-    try:
-        channels, rate = probe(f.name)
-        raw = subprocess.run(["ffmpeg", "-v", "error", "-i", f.name, "-f", "f32le", "-ac", str(channels), "-ar", str(rate), "-"], capture_output=True, check=True).stdout
-    except subprocess.CalledProcessError as e:
-        raise ValueError(str(e.stderr)[:200]) from e
-    finally:
-        os.unlink(f.name)
-    return pcm(raw, 32, channels, "<", True), rate
+    said = _program(["ffprobe", "-v", "error", "-select_streams", "a:0", "-show_entries", "stream=sample_rate,channels", "-of", "default=noprint_wrappers=1", "-i", "pipe:0"], data).decode()
+    told = dict(line.split("=", 1) for line in said.split() if "=" in line)
+    return int(told["channels"]), int(told["sample_rate"])
+
+
+def decode_foreign(data: bytes) -> tuple[np.ndarray, int]:
+    """Samples x channels and the rate of a compressed file, which a program turns to WAV; nothing is written to disk, so files that must be sought in are refused."""
+    return decode_wav(_program(["ffmpeg", "-v", "error", "-i", "pipe:0", "-map", "0:a:0", "-c:a", "pcm_f32le", "-f", "wav", "pipe:1"], data))
 
 
 def decode(path: str, data: bytes) -> tuple[np.ndarray, int]:
@@ -128,7 +124,7 @@ def decode(path: str, data: bytes) -> tuple[np.ndarray, int]:
         if suffix == ".caf":
             return decode_caf(data)
         if suffix in FOREIGN:
-            return decode_foreign(data, suffix)
+            return decode_foreign(data)
         if suffix in IMPULSES:
             return decode_impulses(data)
         return decode_wav(data)
