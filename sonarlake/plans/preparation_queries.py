@@ -72,6 +72,16 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Fields that the problem names, by the paths that they have where nobody renamed them.
+NAMED = {"schema_version": "schema_version", "metric_catalog_version": "metadata.metric_catalog_version"}
+
+
+def p6_named(spark: SparkSession, d: str) -> DataFrame:
+    """Two of the named fields of every document, under whatever name its producer gave them."""
+    rows, _ = unify(table(spark, d, "result_docs"))
+    return rows.where("readable").select("result_id", *[field(path).alias(name) for name, path in NAMED.items()])
+
+
 def p6_readable(spark: SparkSession, d: str) -> DataFrame:
     """Of every document, whether it is readable and how many fields of it are in the unified table: none is lost."""
     rows, _ = unify(table(spark, d, "result_docs"))
@@ -83,7 +93,7 @@ def p6_versions(spark: SparkSession, d: str) -> DataFrame:
     return version_changes(table(spark, d, "result_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_grid, p3_observed, p4_found, p5_found, p5_certain, p5_by_kind, p6_found, p6_table, p6_readable, p6_versions)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_grid, p3_observed, p4_found, p5_found, p5_certain, p5_by_kind, p6_found, p6_table, p6_named, p6_readable, p6_versions)}
 
 SQL = {
     "p3_observed": """
@@ -151,3 +161,17 @@ UNION ALL SELECT result_id, 'added', '', substr(fullkey, 3) FROM come ANTI JOIN
 UNION ALL SELECT result_id, 'removed', substr(fullkey, 3), '' FROM gone ANTI JOIN renamed USING (result_id, obj)
 UNION ALL SELECT result_id, 'type_changed', substr(n.fullkey, 3), substr(n.fullkey, 3) FROM new n JOIN old o USING (result_id, obj, key) WHERE n.kind <> o.kind AND n.kind <> 'NULL' AND o.kind <> 'NULL'""",
 }
+
+SQL["p6_named"] = f"""
+WITH RECURSIVE ch AS ({SQL["p6_found"]}),
+rn AS (SELECT DISTINCT producer, old_path AS a, new_path AS b FROM ch JOIN (SELECT DISTINCT result_id, producer FROM result_docs) USING (result_id) WHERE change_kind = 'renamed'),
+ed AS (SELECT producer, a, b FROM rn UNION SELECT producer, b, a FROM rn),
+reach(producer, want, path) AS (SELECT DISTINCT producer, w, w FROM result_docs, (VALUES {", ".join(f"('{p}')" for p in NAMED.values())}) t(w)
+  UNION SELECT r.producer, r.want, e.b FROM reach r JOIN ed e ON e.producer = r.producer AND e.a = r.path),
+names AS (SELECT *, min(path) OVER (PARTITION BY producer, want) AS name FROM reach),
+docs AS (SELECT DISTINCT ON (result_id) result_id, producer, CASE WHEN json_valid(payload) THEN payload END AS payload FROM result_docs WHERE payload IS NOT NULL),
+whole AS (SELECT * FROM docs WHERE payload IS NOT NULL AND json_type(payload) = 'OBJECT'),
+held AS (SELECT result_id, want, path, name, json_extract_string(payload, '$.' || path) AS v FROM whole JOIN names USING (producer) WHERE coalesce(json_type(payload, '$.' || path), 'OBJECT') <> 'OBJECT'),
+picked AS (SELECT result_id, want, coalesce(arg_min(coalesce(v, chr(0)), (path <> name, path)), chr(0)) AS v, max(CASE WHEN path = want THEN v END) AS own FROM held GROUP BY result_id, want),
+told AS (SELECT result_id, want, coalesce(nullif(v, chr(0)), own) AS v FROM picked)
+SELECT result_id, {", ".join(f"max(CASE WHEN want = '{p}' THEN v END) AS {n}" for n, p in NAMED.items())} FROM whole LEFT JOIN told USING (result_id) GROUP BY result_id"""
