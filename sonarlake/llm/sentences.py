@@ -14,7 +14,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from math import exp
 
 import pyarrow as pa
@@ -29,6 +30,7 @@ SAMPLE_DOCS = 1500  # documents that the weights are fitted on at most
 LEAST, LONGEST, DOTTED_SHARE, FINAL_SHARE = 4, 7, 0.9, 0.06  # of abbreviations: times, length, share with a dot, share where only a sentence can end
 LEAST_QUOTED, QUOTED_SHARE = 5, 0.15  # of words after a quotation: times, share of those of their script
 LEAST_PART = 100_000  # a word with a dot counts if it is one of so many at least
+MOST_HELD = 200_000  # words that a task counts before it hands them on
 CASED_LETTERS = 40  # a stretch with fewer is judged by the case of its document
 MARKED_CUES = 8  # a stretch of fewer cues is judged by the marks of its document
 _CLOSERS = "\"”“»«’'」』)）\\]›\ufffd"
@@ -43,6 +45,16 @@ _THAI_BLANK = re.compile(r"(?<=[^\s\d])[ \xa0]+(?=[^\s\d])")
 _LINE = re.compile(r"[^\r\n]+")
 _MISREAD_I = re.compile("(?:l(?![aeiouyàáâäèéêëìíîïòóôöùúûü'’l])|1)[a-zà-ÿ]")  # a capital I read as l or 1
 _OPENERS = "\"“«„»‹「『([（【-–—♪"
+_ASCII = re.compile("[\x00-\x7f]+")
+_NO_CAPITALS, _NO_SMALL, _NO_LETTERS = (bytes(c for c in range(128) if not f(chr(c))) for f in (str.isupper, str.islower, str.isalpha))
+_KANA = re.compile("[\u3040-\u30ff]")
+_QUOTES = "\"”」』»“"
+_EDGE = _OPENERS + ".,!?…\"”“»«’'」』)]:;¿¡"  # what is cut off a word
+_BETWEEN = "".join(dict.fromkeys(c for c in _EDGE if c not in ".-–—'’")) + "\r\n\t"  # what stands between words as a blank does
+_FURNITURE = "\x01"  # put after a dot after which nothing can go on
+_CUE = r"(?:\d+[ \t]*[\r\n]+[ \t]*\d+:\d\d:\d\d[^\r\n]*[\r\n]+[ \t]*)?"  # the number and times of the cue that begins there
+_LAST_DOT = re.compile(rf"\.(?=[\"”“»«]|\s{{1,40}}{_CUE}(?:[{re.escape(_OPENERS)}]|[\x85\u2028\u2029]?\Z))", re.A)
+_FOLLOWER = re.compile(rf"[.?!…。！？؟।،,、，][{_QUOTES}]\s*{_CUE}([^\s\x00-\x40]\S*)", re.A)
 
 
 class Document:
@@ -244,6 +256,15 @@ def _after(speech: str, at: int) -> tuple[str, str]:
     return "other", word
 
 
+@lru_cache(maxsize=10_000)
+def _mark(text: str) -> tuple[bool, str, bool]:
+    """Whether a mark is one of full width, its class, and whether something closes after it."""
+    full = _FULL.search(text) is not None
+    core = text.rstrip("\"”“»«’'」』)）]›\ufffd\xa0\u202f")
+    mark = "strong" if any(c in core for c in "?!？！؟") else "ellipsis" if "…" in core or core.startswith("..") else "stop" if full or core[0] in "।॥۔" else "dot"
+    return full, mark, len(core) < len(text)
+
+
 def candidates(speech: str, model: Model, cased: bool) -> list[tuple[int, tuple, tuple]]:
     """(end, key, (mark, word before, what follows, word after)) of every place of a run that may end a sentence."""
     out = []
@@ -251,12 +272,10 @@ def candidates(speech: str, model: Model, cased: bool) -> list[tuple[int, tuple,
     for m in _MARKS.finditer(speech):
         s, e = m.start(), m.end()
         text = m[0]
-        full = _FULL.search(text) is not None
+        full, mark, closed = _mark(text)
         if e < n and not full and not speech[e].isspace():
             if not _CJK.match(speech[e]) or text[0] == ".":
                 continue
-        core = text.rstrip("\"”“»«’'」』)）]›\ufffd\xa0\u202f")
-        mark = "strong" if any(c in core for c in "?!？！؟") else "ellipsis" if "…" in core or core.startswith("..") else "stop" if full or core[0] in "।॥۔" else "dot"
         kind, word = _after(speech, e)
         before, chained = _word_before(speech, s)
         if mark == "dot":
@@ -280,7 +299,7 @@ def candidates(speech: str, model: Model, cased: bool) -> list[tuple[int, tuple,
         key_after = kind if cased or kind not in ("upper", "lower") else "letter"
         if not cased and kind == "letter" and word and not word.upper() != word.lower():
             key_after = "caseless"
-        out.append((e, (cased, mark, len(core) < len(text), how, key_after, on, 0), (mark, before, kind, word)))
+        out.append((e, (cased, mark, closed, how, key_after, on, 0), (mark, before, kind, word)))
     if any(key[1] == "ellipsis" for _, key, _ in out):  # how many words a sentence would have that goes on there
         likely = [0, *[e for e, key, _ in out if key[3] not in ("abbreviation", "initial", "ordinal")], len(speech)]
         for i, (e, key, info) in enumerate(out):
@@ -296,13 +315,20 @@ def _layout(place: str) -> tuple:
     return (False, place, False, "layout", "layout", False, 0)
 
 
+def case_counts(text: str) -> tuple[int, int]:
+    """Capitals and small letters of a text."""
+    plain = text.encode("ascii", "ignore")
+    upper, lower = len(plain.translate(None, _NO_CAPITALS)), len(plain.translate(None, _NO_SMALL))
+    if len(plain) < len(text):
+        rest = _ASCII.sub("", text)
+        upper, lower = upper + sum(map(str.isupper, rest)), lower + sum(map(str.islower, rest))
+    return upper, lower
+
+
 def has_case(speech_parts: list[str]) -> bool:
     """Whether letter case tells anything: not in capitals throughout, nor in scripts without it."""
-    upper = lower = 0
-    for s in speech_parts:
-        upper += sum(map(str.isupper, s))
-        lower += sum(map(str.islower, s))
-    return lower > upper
+    counts = [case_counts(s) for s in speech_parts]
+    return sum(c[1] for c in counts) > sum(c[0] for c in counts)
 
 
 def _silver(key: tuple, info: tuple) -> int | None:
@@ -382,35 +408,86 @@ def count_words(docs: list[list[str]]) -> Counts:
     return out
 
 
+def tally(texts: Iterable[str]) -> tuple[dict[str, list[int]], Counter]:
+    """Counts of whole texts: word to [times, times with a dot, times with a dot after which nothing can go on], and (script, follower of a quotation) to times.
+
+    Blanks cut a text into tokens, which are counted as they stand; only distinct ones are looked at.
+    """
+    raw: Counter = Counter()
+    said: Counter = Counter()
+    for text in texts:
+        if "<" in text or "{" in text:
+            text = MARKUP.sub("", text)
+        if any(q in text for q in _QUOTES):
+            kana = None
+            for m in _FOLLOWER.finditer(text):
+                if kana is None:
+                    kana = "j" if _KANA.search(text) else "z"
+                w = m[1].rstrip(_EDGE) if "." in m[1] else m[1]
+                if "." not in w:
+                    said[kana, w] += 1
+        text = _LAST_DOT.sub("." + _FURNITURE, text)
+        for c in _BETWEEN:
+            text = text.replace(c, " ")
+        raw.update(text.split(" "))
+    words: dict[str, list[int]] = {}
+    for t, n in raw.items():
+        t = t.lower()
+        if not 1 <= len(t) <= 2 * LONGEST:
+            continue
+        dotted = last = False
+        w = t
+        if "." in t:
+            base = t.rstrip(_FURNITURE)
+            dotted = base.endswith(".") and not base.endswith("..")
+            last = dotted and t.endswith(_FURNITURE)
+            w = base.strip(_EDGE).rpartition(".")[2]
+        if 1 <= len(w) <= LONGEST:
+            row = words.setdefault(w, [0, 0, 0])
+            row[0] += n
+            row[1] += n * dotted
+            row[2] += n * last
+    return words, said
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """script, w, n, d, f: what ``tally`` counts, over all documents, summed before the exchange. script is '' for plain words, else that of the document a follower is in."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, list[int]] = {}
+        said: Counter = Counter()
+
+        def told() -> pa.RecordBatch:
+            cols = [[""] * len(words) + [k for k, _ in said], [*words, *(w for _, w in said)], *([r[i] for r in words.values()] + (list(said.values()) if i == 0 else [0] * len(said)) for i in range(3))]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 2 else pa.int64()) for i, c in enumerate(cols)], ["script", "w", "n", "d", "f"])
+
+        for b in batches:
+            some, followers = tally(b["text"].to_pylist())
+            for w, r in some.items():
+                row = words.get(w)
+                words[w] = r if row is None else [x + y for x, y in zip(row, r)]
+            said.update(followers)
+            if len(words) + len(said) > MOST_HELD:
+                yield told()
+                words, said = {}, Counter()
+        yield told()
+
+    made = rows.select("text").mapInArrow(count, "script string, w string, n long, d long, f long")
+    return made.groupBy("script", "w").agg(*[F.sum(c).alias(c) for c in "ndf"])
+
+
 def corpus_classes(rows: DataFrame) -> tuple[set[str], set[str], set[str]]:
-    """The closed classes from counts over all documents, by expressions of the engine in one pass, summed before the exchange.
+    """The closed classes from counts over all documents.
 
     A word that is one in ``LEAST_PART`` of all words with a dot is looked at, so that at most so many come to the driver.
     """
-    opener, furniture, quoted = "[" + re.escape(_OPENERS) + "]", "\x01", "\x02"
-    cue = r"(?:\d+[ \t]*[\r\n]+[ \t]*\d+:\d\d:\d\d[^\r\n]*[\r\n]+[ \t]*)?"  # the number and times of the cue that begins there
-    plain = rows.select(F.regexp_replace("text", MARKUP.pattern, "").alias("text"))
-    # dots after which nothing can go on are marked
-    marked = F.regexp_replace("text", rf"\.(?=[\"”“»«]|\s{{1,40}}{cue}(?:{opener}|$))", "." + furniture)
-    edge = _OPENERS + ".,!?…\"”“»«’'」』)]:;¿¡"
-    inner = "".join(c for c in edge if c not in ".-–—'’")
-    tokens = F.split(F.translate(F.lower(marked), inner + "\r\n\t", " " * (len(inner) + 3)), " +")
-    followers = F.regexp_extract_all("text", F.lit(rf"[.?!…。！？؟।،,、，][\"”」』»“]\s*{cue}([^\s\x00-\x40]\S*)"), F.lit(1))
-    script = F.when(F.col("text").rlike("[\u3040-\u30ff]"), quoted + "j").otherwise(quoted + "z")
-    token = plain.select(F.explode(F.concat(tokens, F.transform(followers, lambda w: F.concat(script, w)))).alias("t")).where(F.length("t").between(1, 2 * LONGEST) | F.col("t").startswith(quoted))
-    base = F.rtrim(F.col("t"), F.lit(furniture))
-    dotted = F.col("t").contains(".") & base.endswith(".") & ~base.endswith("..")
-    # most words hold no dot and are counted as they stand; marks at their edges are blanks already
-    word = F.when(F.col("t").contains("."), F.substring_index(F.btrim(base, F.lit(edge)), ".", -1)).otherwise(F.col("t"))
-    parts = token.select(word.alias("w"), dotted.cast("int").alias("d"), (dotted & F.col("t").endswith(furniture)).cast("int").alias("f")).where((F.length("w").between(1, LONGEST)) | F.col("w").startswith(quoted))
-    counts = keep(parts.groupBy("w").agg(F.count("*").alias("n"), F.sum("d").alias("d"), F.sum("f").alias("f")).where((F.col("d") >= LEAST) | F.col("w").startswith(quoted)))
-    plainly = counts.where(~F.col("w").startswith(quoted))
+    counts = keep(word_counts(rows).where((F.col("d") >= LEAST) | (F.col("script") != "")))
+    plainly = counts.where("script = ''")
     total = plainly.agg(F.sum("d")).first()[0] or 0
     out = Counts()
     for r in plainly.where((F.col("d") * LEAST_PART >= total) & (F.col("n") * DOTTED_SHARE <= F.col("d"))).collect():
         out.words[r.w], out.dotted[r.w], out.furniture[r.w] = r.n, r.d, r.f
-    said = counts.where(F.col("w").startswith(quoted)).select(F.substring("w", 2, 1).alias("kana"), F.expr("substring(w, 3)").alias("w"), "n")
-    said = said.where((F.lower(F.substring("w", 1, 1)) == F.upper(F.substring("w", 1, 1))) & F.col("w").rlike("^\\p{L}"))
+    said = counts.where("script <> ''").select(F.col("script").alias("kana"), "w", "n").where((F.lower(F.substring("w", 1, 1)) == F.upper(F.substring("w", 1, 1))) & F.col("w").rlike("^\\p{L}"))
     han, cjk = F.col("w").rlike("^[\u3400-\u9fff]"), F.col("w").rlike("^[\u3040-\u30ff\u3400-\u9fff]")
     script = F.when(han & (F.col("kana") == "z"), "zh").when(cjk, "ja").otherwise(F.hex(F.shiftright(F.ascii("w"), 7)))
     short = said.select(script.alias("script"), F.when(cjk, F.substring("w", 1, 2)).otherwise(F.col("w")).alias("w"), "n").groupBy("script", "w").agg(F.sum("n").alias("n"))
@@ -471,7 +548,7 @@ def script_of(text: str) -> str:
     """'thai', 'cjk' or 'other', by most of the letters; '' without letters."""
     if text.isascii():
         return "other" if any(map(str.isalpha, text)) else ""
-    letters = sum(map(str.isalpha, text))
+    letters = len(text.encode("ascii", "ignore").translate(None, _NO_LETTERS)) + sum(map(str.isalpha, _ASCII.sub("", text)))
     if not letters:
         return ""
     if 2 * len(_THAI.findall(text)) > letters:
@@ -512,7 +589,7 @@ def sentence_ends(text: str, model: Model) -> list[int]:
             if script == "thai":
                 places = sorted(places + [(m.start(), _layout("blank")) for m in _THAI_BLANK.finditer(s)])
         else:
-            upper, lower = sum(map(str.isupper, s)), sum(map(str.islower, s))
+            upper, lower = case_counts(s)
             if upper + lower >= CASED_LETTERS:
                 cased = lower > upper
             else:

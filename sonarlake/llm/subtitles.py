@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 #: The characters that Windows code page 1252 puts on bytes 0x80 to 0x9F; bytes it leaves undefined stay C1 controls.
@@ -71,6 +72,8 @@ def repair_with_ends(text: str, times: int = 2) -> tuple[str, list[int] | None]:
 _EOL = r"(?:\r\n|\r|\n)"
 #: A cue's number line (if any) and timing line.
 HEADER = re.compile(rf"(?:\ufeff?[ \t]*\d+[ \t]*{_EOL}(?:[ \t]*{_EOL})?)?\ufeff?[ \t]*\d+:\d\d:\d\d[,.]\d+[ \t]*-->[^\r\n]*{_EOL}?")
+_TIMES = re.compile(rf"\d\d*:\d\d:\d\d[,.]\d+[ \t]*-->[^\r\n]*{_EOL}?")
+_AFTER_NUMBER = re.compile(rf"[ \t]*{_EOL}(?:[ \t]*{_EOL})?")
 MARKUP = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}")
 _HOST = r"\bwww\.|https?:|\w[\w-]*\.(?:example|invalid|com|org|net)\b"
 #: What gives a cue away as an advert or a credit: a host name, or a frame of those who make subtitle files.
@@ -88,20 +91,47 @@ def _as_misread(text: str) -> str:
 
 _MISREAD = re.compile(r"\bwww\.|https?:|\w\.(?:" + "|".join(map(_as_misread, ("example", "invalid", "com", "org", "net"))) + r")\b|^" + _as_misread("sync and corrections:"))
 _HOST_DOT = re.compile(r"\w\.\w|:")
+_INNER_DOT = re.compile(r"\.(?:(?<=[\w-]\.)\w|(?<=[wW]\.))")
 
 
 def is_advert(core: str) -> bool:
     """Whether the text of a cue is an advert or a credit, also one in which letters were misread: it names a host, or has the frame of a credit."""
+    if ":" not in core and not core.startswith("-= ") and not _INNER_DOT.search(core):
+        return False  # the dearer expressions need one of these
     return bool(ADVERT.search(core)) or bool(_HOST_DOT.search(core) and _MISREAD.search(_as_misread(core)))
 
 
+def _before_blanks(text: str, least: int, at: int) -> int:
+    """Where the blanks that end at ``at`` begin, and a byte-order mark before them."""
+    while at > least and text[at - 1] in " \t":
+        at -= 1
+    return at - 1 if at > least and text[at - 1] == "\ufeff" else at
+
+
+def headers(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the matches of ``HEADER``: the times are found first, the number line is looked for from there backward."""
+    last = 0
+    for m in _TIMES.finditer(text):
+        start = _before_blanks(text, last, m.start())
+        stop = start
+        while stop > last and text[stop - 1] in " \t\r\n":
+            stop -= 1
+        at = stop
+        while at > last and text[at - 1].isdecimal():
+            at -= 1
+        if at < stop < start and _AFTER_NUMBER.fullmatch(text, stop, start):
+            start = _before_blanks(text, last, at)
+        yield start, m.end()
+        last = m.end()
+
+
 def cues(text: str) -> list[tuple[int, int]]:
     """Spans of the cues' bodies in a text, blanks at both ends left out. What stands before the first timing line is a body too."""
     out = []
     at = 0
-    for m in HEADER.finditer(text):
-        out.append((at, m.start()))
-        at = m.end()
+    for start, end in headers(text):
+        out.append((at, start))
+        at = end
     out.append((at, len(text)))
     spans = []
     for a, b in out:

@@ -141,3 +141,33 @@ def test_adverts_name_a_host(text, want):
     from sonarlake.llm.subtitles import is_advert
 
     assert is_advert(text) is want
+
+
+def test_words_are_counted_in_tasks_before_any_row_is_made(spark, texts, monkeypatch):
+    from sonarlake.llm import sentences as module
+
+    odd = ["Dr. <i>Ho.</i> went, etc.\n\n2\n00:00:01,000 --> 00:00:02,000\n- So. “No.” said U.S. men... a.b. ", "", "İI. I.\x85", "．。」と言う 他说。”他说"]
+    rows = spark.createDataFrame([(t,) for t in texts + odd], "text string").repartition(5)
+    words, said = module.tally(texts + odd)
+    want = {("", w): tuple(r) for w, r in words.items()} | {k: (n, 0, 0) for k, n in said.items()}
+    for held in (module.MOST_HELD, 50):  # also handed on in parts
+        monkeypatch.setattr(module, "MOST_HELD", held)
+        counts = module.word_counts(rows)
+        assert {(r.script, r.w): (r.n, r.d, r.f) for r in counts.collect()} == want
+    assert "Generate" not in counts._jdf.queryExecution().toString()
+    words, said = module.tally(odd[:1])
+    assert words["dr"] == [1, 1, 0] and words["etc"] == words["so"] == [1, 1, 1] and words["b"] == [1, 1, 1] and words["men"] == [1, 0, 0]
+    assert dict(said) == {("z", "said"): 1}
+
+
+def test_shorter_ways_find_the_same(texts):
+    from sonarlake.llm import subtitles
+    from sonarlake.llm.sentences import case_counts
+
+    r = random.Random(7)
+    parts = ["00:00:01,000 --> 00:00:02,000", "1:22:33.4-->x", "-->", "12", "7:", " ", "\t", "\n", "\r\n", "\r", "﻿", "a.", "Www.b", "x.com", "-.org", "c0rn", "É", "İ", "\xa0", "٣:00:00,1 -->", "-= x =-", "sync and corrections:", "www."]
+    for t in texts[:300] + ["".join(r.choice(parts) for _ in range(r.randrange(1, 40))) for _ in range(3000)]:
+        assert list(subtitles.headers(t)) == [m.span() for m in subtitles.HEADER.finditer(t)]
+        assert case_counts(t) == (sum(map(str.isupper, t)), sum(map(str.islower, t)))
+        for line in t.split("\n"):
+            assert subtitles.is_advert(line) == (bool(subtitles.ADVERT.search(line)) or bool(subtitles._HOST_DOT.search(line) and subtitles._MISREAD.search(subtitles._as_misread(line))))
